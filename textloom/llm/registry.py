@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, simhash
+from textloom.llm import bpe, exact, simhash
 
 
 def queries() -> dict:
     return {
         "op7_simhash": simhash.op7_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_exact_dedup": exact.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_exact_dedup": exact.OP9_SQL,
+    }
