@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, exact, simhash
+from textloom.llm import bpe, exact, licenses, pii, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op7_simhash": simhash.op7_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_exact_dedup": exact.op9_exact_dedup,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
