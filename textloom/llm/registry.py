@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, exact, licenses, pii, quality, simhash, toxicity
+from textloom.llm import bpe, decontaminate, exact, licenses, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
         "op3_quality": quality.op3_quality,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_simhash": simhash.op7_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
