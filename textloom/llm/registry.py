@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, exact, licenses, pii, quality, simhash, toxicity
+from textloom.llm import bpe, decontaminate, exact, licenses, pii, quality, simhash, suffixes, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_suffix_dedup": suffixes.op2_suffix_dedup,
         "op3_quality": quality.op3_quality,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op6_toxicity": toxicity.op6_toxicity,
