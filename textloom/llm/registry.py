@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, exact, licenses, pii, quality, simhash, suffixes, toxicity
+from textloom.llm import bpe, decontaminate, exact, language_model, licenses, pii, quality, simhash, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_suffix_dedup": suffixes.op2_suffix_dedup,
         "op3_quality": quality.op3_quality,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_language_model": language_model.op5_language_model,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_simhash": simhash.op7_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
