@@ -1,0 +1,333 @@
+"""Queries over joins, ranges, sequences, quality reports, pages and searches on the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import text as tx
+from textloom.operators import fuzzy, index, quality, ranges, relations
+from textloom.plans.catalogue import query
+from textloom.plans.tables import documents, table, tokens_sql
+from textloom.sources import readers, sinks
+
+# Fuzzy and mobile search
+
+ASKED = ["thess anonheda", "tion reing", "onble the", "zzzzzz", "ereses and ing"]
+ASKED_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED)) + ") AS t(qid, query))"
+
+
+def asked(spark):
+    return spark.createDataFrame(list(enumerate(ASKED)), "qid int, query string")
+
+
+GRAMS = "list_transform(range(1, length({t}) - 1), lambda i: substring({t}, CAST(i AS INTEGER), 3))"
+FUZZY_SQL = f"""
+d AS ({tokens_sql("documents", "doc_id")}), t AS (SELECT id, unnest(list_distinct(tokens)) AS term FROM d), v AS (SELECT DISTINCT term FROM t), {ASKED_SQL},
+toks AS (SELECT qid, unnest(range(len(w))) AS pos, unnest(w) AS tok FROM (SELECT qid, string_split(trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM q)),
+u AS (SELECT DISTINCT tok, length(tok) AS n, CASE WHEN length(tok) <= 4 THEN 1 WHEN length(tok) <= 8 THEN 2 ELSE 3 END AS max_ed FROM toks),
+va AS (SELECT DISTINCT tok, max_ed, unnest(list_filter([tok, CASE WHEN tok LIKE '%ing' AND n > 5 THEN tok[:-4] END, CASE WHEN tok LIKE '%ed' AND n > 4 THEN tok[:-3] END, CASE WHEN tok LIKE '%es' AND n > 4 THEN tok[:-3] END,
+  CASE WHEN tok LIKE '%s' AND n > 3 THEN tok[:-2] END, CASE WHEN tok LIKE '%ies' AND n > 5 THEN tok[:-4] || 'y' END], lambda x: x IS NOT NULL)) AS variant FROM u),
+g AS (SELECT tok, gram, count(*) AS times FROM (SELECT tok, unnest(CASE WHEN length(variant) <= 3 THEN [variant] ELSE {GRAMS.format(t="variant")} END) AS gram FROM va) GROUP BY 1, 2),
+ix AS (SELECT DISTINCT term, unnest(CASE WHEN length(term) <= 3 THEN [term] ELSE {GRAMS.format(t="term")} END) AS gram FROM v),
+h AS (SELECT tok, term, sum(times) AS hits FROM g JOIN ix USING (gram) GROUP BY 1, 2),
+sl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY hits DESC, length(term), term) AS r FROM h) WHERE r <= 1200),
+nr AS (SELECT sl.tok, sl.term, hits, max_ed, min(levenshtein(variant, sl.term)) AS dist FROM sl JOIN va USING (tok) WHERE abs(length(sl.term) - length(variant)) <= max_ed AND levenshtein(variant, sl.term) <= max_ed GROUP BY 1, 2, 3, 4),
+ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY dist, hits DESC, term) AS r FROM nr) WHERE r <= 12)"""
+
+
+@query("fuzzy_close_tokens", f"WITH {FUZZY_SQL} SELECT tok, term, CAST(dist AS INTEGER) AS dist, CAST(hits AS BIGINT) AS hits FROM ct")
+def fuzzy_close_tokens(spark, sf_dir):
+    return fuzzy.close_tokens(fuzzy.query_tokens(asked(spark)), index.terms(documents(spark, sf_dir))).select("tok", "term", "dist", "hits")
+
+
+@query("fuzzy_search", f"""
+WITH {FUZZY_SQL}, f AS (SELECT qid, pos, t.id, max_ed - dist + 1 + CASE WHEN dist = 0 THEN 2 ELSE 0 END AS votes FROM toks JOIN ct USING (tok) JOIN t USING (term)),
+s AS (SELECT qid, id, sum(votes) AS score, count(DISTINCT pos) AS matched FROM f GROUP BY 1, 2), z AS (SELECT qid, greatest(1, CAST(ceil(count(*) * 3 / 5.0) AS INTEGER)) AS needed FROM toks GROUP BY 1)
+SELECT qid, id, CAST(score AS BIGINT) AS score, matched, CAST(rank AS INTEGER) AS rank FROM (SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s JOIN z USING (qid) WHERE matched >= needed) WHERE rank <= 200""")
+def fuzzy_search(spark, sf_dir):
+    return fuzzy.fuzzy_search(asked(spark), index.terms(documents(spark, sf_dir)))
+
+
+@query("mobile_search", f"""
+WITH d AS ({tokens_sql("documents", "doc_id")}), t AS (SELECT id, unnest(list_distinct(tokens)) AS term FROM d), v AS (SELECT DISTINCT term FROM t), {ASKED_SQL},
+w AS (SELECT qid, unnest(range(len(x))) AS pos, unnest(x) AS word FROM (SELECT qid, string_split(query, ' ') AS x FROM q)),
+ex AS (SELECT qid, pos, term FROM w JOIN v ON word = term), op AS (SELECT * FROM w WHERE word NOT IN (SELECT term FROM v) AND length(word) >= 3),
+ix AS (SELECT DISTINCT term, unnest(CASE WHEN length(term) <= 3 THEN [term] ELSE {GRAMS.format(t="term")} END) AS gram FROM v),
+og AS (SELECT DISTINCT qid, pos, unnest(CASE WHEN length(word) <= 3 THEN [word] ELSE {GRAMS.format(t="word")} END) AS gram FROM op),
+hit AS (SELECT qid, id, count(DISTINCT pos) AS n FROM (SELECT * FROM ex UNION ALL SELECT DISTINCT qid, pos, term FROM og JOIN ix USING (gram)) JOIN t USING (term) GROUP BY 1, 2)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM hit JOIN (SELECT qid, count(*) AS words FROM w GROUP BY 1) USING (qid) WHERE n = words) WHERE rank <= 50""")
+def mobile_search(spark, sf_dir):
+    return fuzzy.all_words_search(asked(spark), index.terms(documents(spark, sf_dir)))
+
+
+@query("root_drilldown", """
+WITH b AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS term FROM lineitem WHERE l_partkey <= 200),
+r AS (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY id) AS rank FROM b)
+SELECT term AS word, CAST(id % 10 AS INTEGER) AS grp, count(*) AS n, min(id) AS first_id FROM r WHERE rank <= 200 GROUP BY 1, 2""")
+def root_drilldown(spark, sf_dir):
+    from textloom.operators.search import by_root
+
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("term")).distinct()
+    words = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("word"))
+    return by_root(words, b).groupBy("word", (F.col("id") % 10).cast("int").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+# Ranges and sequences
+
+
+@query("range_join_shard", """
+WITH r AS (SELECT k * 1000 + 1 AS s, k * 1000 + 900 AS e, 'shard_' || k AS file FROM range(0, 700) t(k))
+SELECT file, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders JOIN r ON o_orderkey BETWEEN s AND e GROUP BY file""")
+def range_join_shard(spark, sf_dir):
+    """Ranges leave the last hundred of every thousand out."""
+    r = spark.range(700).select((F.col("id") * 1000 + 1).alias("start"), (F.col("id") * 1000 + 900).alias("end"), F.concat(F.lit("shard_"), "id").alias("file"))
+    return ranges.range_lookup(table(spark, sf_dir, "orders"), r, "o_orderkey", 1000).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+
+
+@query("range_map", """
+SELECT min(o_orderkey) AS start, max(o_orderkey) AS "end", 'shard_' || lpad(CAST(CAST(floor((o_orderkey - 1) / 1000.0) AS BIGINT) + 1 AS VARCHAR), 5, '0') || '.json' AS file FROM orders GROUP BY floor((o_orderkey - 1) / 1000.0), 3""")
+def range_map(spark, sf_dir):
+    return sinks.range_map(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+@query("asof_backfill", """
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN '' END AS text FROM conversations),
+f AS (SELECT conv_id, turn, last_value(nullif(text, '') IGNORE NULLS) OVER w AS found, last_value(CASE WHEN nullif(text, '') IS NOT NULL THEN turn END IGNORE NULLS) OVER w AS covers_from
+ FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, turn, found, covers_from, CASE WHEN found IS NOT NULL THEN turn END AS covers_to FROM f""")
+def asof_backfill(spark, sf_dir):
+    """Texts stay on every third turn; the others look back."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, "").alias("text"))
+    return ranges.last_observation(c, "conv_id", "turn", "text").select("conv_id", "turn", "found", "covers_from", "covers_to")
+
+
+@query("row_numbers", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS serial FROM documents")
+def row_numbers(spark, sf_dir):
+    return ranges.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), [F.col("source"), F.col("doc_id")]).select("doc_id", "serial")
+
+
+@query("group_concat_notes", "SELECT conv_id, role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS notes FROM conversations GROUP BY conv_id, role")
+def group_concat_notes(spark, sf_dir):
+    return relations.joined_notes(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn", "text").select("conv_id", "role", "notes")
+
+
+# Joins
+
+
+@query("coverage_missing_extra", """
+WITH l AS (SELECT doc_id FROM labels UNION SELECT doc_id + 1000000 FROM labels WHERE doc_id % 5 = 0)
+SELECT doc_id, 'missing' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT doc_id, 'extra' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def coverage_missing_extra(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    found = lab.unionAll(lab.where("doc_id % 5 = 0").select(F.col("doc_id") + 1000000))
+    return relations.coverage(table(spark, sf_dir, "documents"), found, "doc_id")
+
+
+@query("set_equality", "SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, CAST(0 AS BIGINT) AS extra, false AS equal")
+def set_equality(spark, sf_dir):
+    return relations.same_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("left_join_fill_zero", "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def left_join_fill_zero(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return relations.lookup(table(spark, sf_dir, "customer").select("c_custkey"), n, "c_custkey", {"n": F.lit(0)})
+
+
+@query("lookup_coalesce", """
+SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN '' END, nullif(CASE WHEN lang = 'en' THEN '' ELSE lang END, ''), source) AS raw_label,
+ coalesce(nullif(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN '' END, ''), nullif(CASE WHEN lang = 'en' THEN '' ELSE lang END, ''), source) AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def lookup_coalesce(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "").alias("word"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("tongue")).join(lab, "doc_id", "left")
+    return d.select("doc_id", F.coalesce("word", relations.filled("tongue"), "source").alias("raw_label"), relations.first_filled("word", "tongue", "source").alias("label"))
+
+
+@query("overlay_translation", "SELECT d.doc_id AS id, CASE WHEN l.toxic = 0 THEN 'label' ELSE d.lang END AS text FROM documents d LEFT JOIN labels l USING (doc_id)")
+def overlay_translation(spark, sf_dir):
+    base = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("english"))
+    active = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "label").otherwise("").alias("text"))
+    return relations.overlay(base, active, "id", "text", "english").select("id", "text")
+
+
+@query("bridge_in_order", """
+WITH b AS (SELECT k AS topic, p AS pos, (k * 37 + p * 11) % 2300 + 1 AS p_partkey FROM range(0, 20) t(k), range(0, 30) u(p))
+SELECT topic, pos, p_partkey, p_name FROM b JOIN part USING (p_partkey)""")
+def bridge_in_order(spark, sf_dir):
+    """Some keys of the bridge lie past the end of the records and fall out."""
+    b = spark.range(600).select((F.floor(F.col("id") / 30)).alias("topic"), (F.col("id") % 30).alias("pos")).withColumn("p_partkey", (F.col("topic") * 37 + F.col("pos") * 11) % 2300 + 1)
+    return relations.bridge_in_order(b, table(spark, sf_dir, "part"), "p_partkey").select("topic", "pos", "p_partkey", "p_name")
+
+
+@query("metadata_upsert", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new' ELSE p_brand END AS brand FROM part WHERE p_size <= 40 OR p_size > 25")
+def metadata_upsert(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_brand").alias("brand"))
+    return relations.merge_upsert(p.where("p_size <= 40").drop("p_size"), p.where("p_size > 25").select("p_partkey", F.lit("new").alias("brand")), "p_partkey")
+
+
+@query("batch_lookup", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def batch_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return relations.batch_lookup(ids, table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("slug_dimension", "SELECT l.nation, count(*) AS n FROM (SELECT n_name AS nation, n_nationkey FROM nation WHERE n_nationkey % 2 = 0) l JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def slug_dimension(spark, sf_dir):
+    d = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
+    return table(spark, sf_dir, "customer").join(d, "c_nationkey").groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("trailing_number_join", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) = o_orderkey")
+def trailing_number_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", tx.trailing_number("c_name").alias("o_orderkey"))
+    return c.join(table(spark, sf_dir, "orders"), "o_orderkey").select("c_custkey", "o_orderkey")
+
+
+# Quality
+
+
+@query("quality_profile", """
+SELECT count(*) AS rows, count(DISTINCT doc_id) AS keys, count(*) FILTER (text IS NULL OR trim(text) = '') AS blank, count(*) FILTER (trim(text) <> '' AND length(text) < 60) AS short,
+ count(*) FILTER (trim(text) <> '') AS not_arabic FROM documents""")
+def quality_profile(spark, sf_dir):
+    return quality.profile(table(spark, sf_dir, "documents"), "doc_id", "text", 60)
+
+
+@query("duplicates_keep_false", "SELECT doc_id, n FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1")
+def duplicates_keep_false(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return quality.duplicates(d, ["h"]).select("doc_id", "n")
+
+
+@query("group_size_vs_expected", """
+WITH f AS (SELECT source, count(*) AS found FROM documents GROUP BY 1), e AS (SELECT DISTINCT source, 50 AS expected FROM documents UNION ALL SELECT 'none', 3)
+SELECT source, coalesce(found, 0) AS found, coalesce(expected, 0) AS expected FROM f FULL JOIN e USING (source) WHERE coalesce(found, 0) <> coalesce(expected, 0)""")
+def group_size_vs_expected(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    e = d.select("source").distinct().withColumn("expected", F.lit(50)).unionAll(spark.createDataFrame([("none", 3)], "source string, expected int"))
+    return quality.group_sizes(d, "source", e)
+
+
+@query("top_values", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
+def top_values(spark, sf_dir):
+    return quality.top_values(table(spark, sf_dir, "events"), "event_type", 3)
+
+
+@query("conflicting_values", 'SELECT l_orderkey, l_suppkey % 5 AS s, count(DISTINCT trim(l_returnflag)) AS "values" FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT trim(l_returnflag)) > 1')
+def conflicting_values(spark, sf_dir):
+    return quality.conflicting(table(spark, sf_dir, "lineitem").withColumn("s", F.col("l_suppkey") % 5), ["l_orderkey", "s"], "l_returnflag")
+
+
+@query("coverage_ratio", "SELECT count(*) AS expected, count(l.doc_id) AS covered, round(count(l.doc_id) * 100.0 / count(*), 2) AS percent FROM documents d LEFT JOIN labels l USING (doc_id)")
+def coverage_ratio(spark, sf_dir):
+    return quality.coverage_ratio(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("equal_editions", "SELECT a.h AS key, a.doc_id AS first, b.doc_id AS second FROM (SELECT doc_id, md5(text) AS h, text FROM documents) a JOIN (SELECT doc_id, md5(text) AS h, text FROM documents) b ON a.h = b.h AND a.text = b.text AND a.doc_id < b.doc_id")
+def equal_editions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5("text").alias("key"))
+    return quality.equal_texts(d, "key", "doc_id", "text")
+
+
+@query("entity_span", "SELECT c_nationkey, min(c_custkey) AS low, max(c_custkey) AS high, count(*) AS n FROM customer GROUP BY 1")
+def entity_span(spark, sf_dir):
+    return quality.span(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey")
+
+
+@query("bars_scaled", "WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, CAST(floor(n / CAST((SELECT max(n) FROM c) AS DOUBLE) * 140 + 0.5) AS INTEGER) AS bar FROM c")
+def bars_scaled(spark, sf_dir):
+    return relations.scaled_to_max(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "n", 140)
+
+
+@query("one_of_each", "SELECT o_custkey, arg_min(o_orderkey, md5(CAST(o_orderkey AS VARCHAR))) AS o_orderkey FROM orders GROUP BY 1")
+def one_of_each(spark, sf_dir):
+    return relations.one_of_each(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("numeric_coerced", "SELECT c_custkey, CAST(part AS BIGINT) AS part FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE regexp_extract(c_name, '[0-9]+') END AS part FROM customer) WHERE TRY_CAST(part AS BIGINT) IS NOT NULL")
+def numeric_coerced(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).otherwise(F.regexp_extract("c_name", "[0-9]+", 0)).alias("part"))
+    return relations.numeric_coerced(c, ["part"])
+
+
+@query("spot_checks", "SELECT doc_id, phrase, contains(lower(text), lower(phrase)) AS ok FROM documents CROSS JOIN (VALUES ('The'), ('license'), ('EN')) p(phrase) WHERE doc_id % 10 = 0")
+def spot_checks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    phrases = d.where("doc_id % 10 = 0").select("doc_id", F.explode(F.array(*[F.lit(x) for x in ("The", "license", "EN")])).alias("phrase"))
+    return quality.spot_checks(d, phrases, "doc_id", "text")
+
+
+@query("keyword_match_flag", "SELECT doc_id, contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'license') OR contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'mit') AS hit FROM documents")
+def keyword_match_flag(spark, sf_dir):
+    from textloom.operators.search import keyword_flag
+
+    return table(spark, sf_dir, "documents").select("doc_id", keyword_flag(F.col("text"), F.lit("MIT, a License!")).alias("hit"))
+
+
+# Pages
+
+WS = "[ \\t\\r\\n\\f\\x0B]"
+
+
+@query("html_strip", rf"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?i)</p>|<br{WS}*/?>|</div>', chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>') AS t FROM a)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&#?[0-9A-Za-z_]+;', '', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g') AS text FROM b""")
+def html_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_html("html").alias("text"))
+
+
+@query("html_strip_inline", rf"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&#39;', ''''), '&quot;', '"'), '{WS}+', ' ', 'g')) AS text FROM pages""")
+def html_strip_inline(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_html_inline("html").alias("text"))
+
+
+@query("link_extract", r"""
+WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]+)"', 1))) AS link FROM pages)
+SELECT page_id, count(*) AS n, min(regexp_extract(link, '^/([^"0-9]*)', 1)) AS first_slug FROM l GROUP BY 1""")
+def link_extract(spark, sf_dir):
+    found = readers.links(table(spark, sf_dir, "pages"), "page_id", "html", r'href="/([^"0-9]*)([^"]*)"').where("slug <> '' or number is not null")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("slug").alias("first_slug"))
+
+
+@query("html_escape", """SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS h FROM pages""")
+def html_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.escape_html("html")).alias("h"))
+
+
+@query("word_counts", rf"""SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '{WS}+')) END AS INTEGER) AS words FROM (SELECT doc_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS t FROM documents)""")
+def word_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.word_count("text").alias("words"))
+
+
+@query("previews_and_padding", "SELECT doc_id, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '…' ELSE text END AS preview, lpad(CAST(doc_id AS VARCHAR), 5, '0') AS padded, 'qs:v1:' || sha1(lang || ':' || source) AS key FROM documents")
+def previews_and_padding(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview("text", 120).alias("preview"), tx.zero_pad(F.col("doc_id"), 5).alias("padded"), tx.cache_key(F.col("lang"), F.col("source")).alias("key"))
+
+
+# Sinks
+
+
+@query("manifest", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM benchmark) AS benchmark, 'v3' AS version")
+def manifest(spark, sf_dir):
+    return sinks.manifest({"documents": table(spark, sf_dir, "documents"), "benchmark": table(spark, sf_dir, "benchmark")}, version="v3")
+
+
+@query("shard_roundtrip", "SELECT doc_id, lang, source FROM documents")
+def shard_roundtrip(spark, sf_dir):
+    """Rows written in shards by source and read again."""
+    import uuid
+
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/shards-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    sinks.shard_by_key(d, F.substring("source", 4, 4).cast("int"), path)
+    return spark.read.schema("doc_id long, lang string, source string").json(path).select("doc_id", "lang", "source")
+
+
+@query("nested_json_map", "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS text FROM documents")
+def nested_json_map(spark, sf_dir):
+    """Nested records flattened to (id, text), keyed by the number within the group."""
+    d = table(spark, sf_dir, "documents").select(F.struct((F.col("doc_id") + 7).cast("int").alias("number"), F.col("doc_id").cast("int").alias("numberInSurah"), F.col("lang").alias("text")).alias("a"), (F.col("doc_id") % 10).alias("g"))
+    j = d.groupBy("g").agg(F.to_json(F.struct(F.array(F.struct(F.first(F.lit(1)).alias("number"), F.collect_list("a").alias("ayahs"))).alias("surahs"))).alias("json"))
+    return readers.flatten_groups(j, "json").select(F.split_part("id", F.lit(":"), F.lit(2)).alias("id"), "text")

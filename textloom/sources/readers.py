@@ -135,4 +135,4 @@ def tagged_notes(pages: DataFrame, key: str, html: str, least: int = 15) -> Data
 def links(pages: DataFrame, key: str, html: str, pattern: str = r"/surah-([^/]+)/ayat-(\d+)/") -> DataFrame:
     """key, slug, number of links, each once, in the order of their first place."""
     found = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("slug"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("number"))
-    return pages.select(key, F.posexplode(F.array_distinct(found)).alias("pos", "l")).select(key, "pos", "l.slug", F.col("l.number").cast("int").alias("number"))
+    return pages.select(key, F.posexplode(F.array_distinct(found)).alias("pos", "l")).select(key, "pos", "l.slug", F.col("l.number").try_cast("int").alias("number"))
