@@ -176,7 +176,7 @@ def differing(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
     shared: digest, bucket of digests that several rows have. Texts of other digests go no further than the first join."""
     d = id_and_text(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
-    members = d.withColumn("digest", F.sha2("norm", 256)).join(shared, "digest").select("bucket", "doc_id", "norm")
+    members = materialise(d.withColumn("digest", F.sha2("norm", 256)).join(shared, "digest").select("bucket", "doc_id", "norm"), "same-digest")
     first = members.where("doc_id = bucket").select("bucket", F.col("norm").alias("first_norm")).dropDuplicates(["bucket"])
     other = members.join(first, "bucket").where("norm <> first_norm").select("bucket", "doc_id", "norm")
     own = other.groupBy("bucket", "norm").agg(F.min("doc_id").alias("own"))
@@ -189,6 +189,7 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     shards = max(SHARDS, math.ceil(rows.count() / SHARD_KEYS))
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     buckets = materialise(assign([rows.where(turn == i) for i in range(batches)], shards), "digest-buckets")
+    # A digest of one row has nothing to be checked against.
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     odd = materialise(differing(docs, buckets.join(sizes, "digest").select("digest", "bucket")), "differing")
     placed = rows.join(buckets, "digest")
@@ -196,9 +197,10 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         placed = placed.withColumn("own", F.col("bucket"))
     else:
         placed = placed.join(odd.dropDuplicates(["doc_id", "bucket"]), ["doc_id", "bucket"], "left").withColumn("own", F.coalesce("own", "bucket"))
-    placed = placed.select("doc_id", "digest", "n_points", "own")
-    best = placed.groupBy("digest", "own").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return placed.join(best, ["digest", "own"]).select(
+    # The group's key is hashed anew, so that rows are aggregated where they are before a group's sums meet.
+    placed = placed.select("doc_id", "digest", "n_points", F.xxhash64("own", "digest").alias("key"), "own")
+    best = placed.groupBy("key", "own").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return placed.join(best, ["key", "own"]).select(
         "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("best.neg")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
