@@ -17,8 +17,7 @@ from textloom.llm.common import discard, materialise, read_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not call toxic."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    rated = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return toxicity.classify(rated, model).where("predicted = 0").select("row.*")
+    return toxicity.classify(docs, model, "stage score", "stage predicted").where("`stage predicted` = 0").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: A chunk holds about this many documents where texts are short.
 CHUNK_DOCS = 200
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: ASCII white space, as the contracts name it: [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z and leaves every other byte.
@@ -53,8 +55,16 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts travel to Python BATCH_ROWS at a time, unless the session has its own setting: a batch of long texts must fit a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

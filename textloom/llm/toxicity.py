@@ -1,6 +1,6 @@
 """Toxicity classifier with a counterfactual penalty.
 
-Logistic regression over the words that labelled documents mark. For every labelled text with an identity term (the name of a
+Logistic regression over the words, and stems of words, that labelled documents mark. For every labelled text with an identity term (the name of a
 group of people) there is a counterfactual in which another identity term stands in its place; more pairs put identity terms into
 texts that have none. The squared change of the logit over each pair is part of the loss, so that the mere mention of a group
 moves no score. The model is fitted on the driver by Newton steps over a bounded sample of labelled rows and is small: a weight
@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.common import crc_mod_col, discard, id_and_text, materialise, read_table, text_bytes
 
@@ -22,7 +23,8 @@ from textloom.llm.common import crc_mod_col, discard, id_and_text, materialise,
 SAMPLE_ROWS = 12_000
 #: A word is selected if its document frequencies in the two classes differ by so many standard errors, in so many documents.
 LEAST_Z, LEAST_DOCS, MAX_WORDS = 4.0, 5, 800
-RIDGE, PENALTY = 1.0, 20.0
+RIDGE, PENALTY = 0.3, 20.0
+STEM = 5
 #: Terms that name groups of people, by language.  A parameter of fit().
 IDENTITY_TERMS = (
     "women men woman man muslim muslims christian christians jewish jews hindu buddhist atheist black white asian african latino "
@@ -34,8 +36,13 @@ IDENTITY_TERMS = (
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_IDENTITY = frozenset(t.encode() for t in IDENTITY_TERMS)
+
+
 def words(text: bytes) -> set[bytes]:
-    return set(text.translate(_WORDS).split())
+    """The words of a text and the stems (first STEM bytes, marked by ^) of all that are no identity terms."""
+    own = set(text.translate(_WORDS).split())
+    return own | {b"^" + w[:STEM] for w in own if w not in _IDENTITY}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, held_out: int, rows: int) -> DataFrame:
@@ -46,18 +53,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
 
 
 def word_sample(docs: DataFrame, labels: DataFrame, rows: int, folds: int, held_out: int) -> DataFrame:
-    """doc_id, y and words (the different words of the text, sorted) of the sample."""
+    """doc_id, y and words (the different words and stems of the text, sorted, each byte a character) of the sample."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            found = [[w.decode() for w in sorted(words(t))] for t in text_bytes(b.column(1))]
+            found = [[w.decode("latin-1") for w in sorted(words(t))] for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], ["doc_id", "y", "words"])
 
     return labelled_sample(docs, labels, "toxic", folds, held_out, rows).mapInArrow(run, "doc_id long, y int, words array<string>")
 
 
+def _latin(terms: list[str]) -> list[str]:
+    """Terms as the words of a sample stand in it: each byte a character."""
+    return list(dict.fromkeys(t.encode().decode("latin-1") for t in terms))
+
+
 def select_words(sample: DataFrame) -> list[str]:
     """Words whose document frequency tells the classes apart, the clearest first, at most MAX_WORDS."""
     n, n1 = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
@@ -75,7 +87,7 @@ def fit(rows: list[list[str]], y: np.ndarray, chosen: list[str], identity: list[
     rows: of each text the words that are chosen or identity terms."""
     if not len(y) or y.min() == y.max():
         return {None: -50.0}
-    terms = list(dict.fromkeys(identity))
+    terms = _latin(identity)
     place = {w: i + 1 for i, w in enumerate(dict.fromkeys([*chosen, *terms]))}
     d = len(place) + 1
     x = np.zeros((len(rows), d), np.float32)
@@ -106,7 +118,7 @@ def fit(rows: list[list[str]], y: np.ndarray, chosen: list[str], identity: list[
         w += step * min(1.0, 3.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-5:
             break
-    return {None: float(w[0])} | {k.encode(): float(w[i]) for k, i in place.items()}
+    return {None: float(w[0])} | {k.encode("latin-1"): float(w[i]) for k, i in place.items()}
 
 
 def score(texts: list[set[bytes]], model: dict[bytes | None, float]) -> np.ndarray:
@@ -118,25 +130,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, folds: in
     """A model from labelled rows; only their selected words come to the driver."""
     sample = materialise(word_sample(docs, labels, rows, folds, held_out), "toxicity-sample")
     chosen = select_words(sample)
-    wanted = F.array(*[F.lit(w) for w in dict.fromkeys([*chosen, *identity])])
+    wanted = F.array(*[F.lit(w) for w in dict.fromkeys([*chosen, *_latin(identity)])])
     found = sample.select("doc_id", "y", F.array_intersect("words", wanted).alias("words")).toPandas().sort_values("doc_id")
     discard(sample)
     return fit([list(t) for t in found["words"]], found["y"].to_numpy(float), chosen, identity, **settings)
 
 
-def classify(docs: DataFrame, model: dict[bytes | None, float]) -> DataFrame:
-    """The given columns and score and predicted, which take the place of columns so named."""
-    docs = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
+def classify(docs: DataFrame, model: dict[bytes | None, float], score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """The given columns, a score and a prediction; columns so named give way."""
+    docs = docs.select([c for c in docs.columns if c not in (score_name, predicted_name)])
     at = docs.columns.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double", "predicted int"])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_name, T.DoubleType()), T.StructField(predicted_name, T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            s = score([words(t) for t in text_bytes(b.column(at))], shared.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            s = np.concatenate([np.zeros(0), *(score([words(t)], shared.value) for t in text_bytes(b.column(at)))])  # one set of words at a time
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names, score_name, predicted_name])
 
     return docs.mapInArrow(run, schema)
 
