@@ -272,6 +272,13 @@ def vocabulary_file(path: str | None = None) -> bytes:
         return f.read()
 
 
+def _slices(batches, rows: int = 500):
+    """Small batches, so that a worker holds the ids of few texts at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def encode(df: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
     """The given columns and ``ids`` (binary, unsigned 32-bit little-endian) and ``piece_tokens`` (likewise, tokens of each piece)."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
@@ -282,7 +289,7 @@ def encode(df: DataFrame, vocabulary: str | None = None, text: str = "text") ->
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             ids, counts = encode_texts([t or "" for t in batch.column(at).to_pylist()], shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], [*batch.schema.names, "ids", "piece_tokens"])
 
@@ -300,7 +307,7 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> Da
         import pyarrow as pa
 
         token = _tokens(shared.value).__getitem__
-        for batch in batches:
+        for batch in _slices(batches):
             out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
