@@ -199,7 +199,8 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         placed = placed.join(odd.dropDuplicates(["doc_id", "bucket"]), ["doc_id", "bucket"], "left").withColumn("own", F.coalesce("own", "bucket"))
     # The group's key is hashed anew, so that rows are aggregated where they are before a group's sums meet.
     placed = placed.select("doc_id", "digest", "n_points", F.xxhash64("own", "digest").alias("key"), "own")
-    best = placed.groupBy("key", "own").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join reads both sides from a shuffle and a large group can be split there.
+    best = materialise(placed.groupBy("key", "own").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return placed.join(best, ["key", "own"]).select(
         "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("best.neg")).alias("kept"), F.col("digest").alias("text_sha256")
     )
