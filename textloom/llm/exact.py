@@ -191,7 +191,8 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     buckets = materialise(assign([rows.where(turn == i) for i in range(batches)], shards), "digest-buckets")
     # A digest of one row has nothing to be checked against.
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    odd = materialise(differing(docs, buckets.join(sizes, "digest").select("digest", "bucket")), "differing")
+    shared = materialise(buckets.join(sizes, "digest").select("digest", "bucket"), "shared-digests")
+    odd = materialise(differing(docs, shared), "differing")
     placed = rows.join(buckets, "digest")
     if odd.isEmpty():
         placed = placed.withColumn("own", F.col("bucket"))
