@@ -84,8 +84,8 @@ def test_repeated_passages(spark):
     parts = ["".join(random.choice("ab \0é") for _ in range(random.randrange(30, 200))) for _ in range(12)] + ["x" * 130, "ab" * 90, "word " * 40]
     rows = [(i, "".join(random.choice(parts)[random.randrange(20) :] for _ in range(random.randrange(4)))) for i in range(250)]
     rows += [(1000, None), (1001, ""), (1002, "a" * 49), (1003, "q" * 50), (1004, "q" * 50), (1004, "q" * 50), (1005, "z" + "q" * 51)]
-    for parts_ in (1, 5):
-        got = suffixes.repeated_passages(hostile(table(spark, rows)).repartition(parts_)).collect()
+    for parts_, hot in ((1, 0), (5, suffixes.HOT_CHUNKS)):  # all shared anchors dealt out by passage, or none
+        got = suffixes.repeated_passages(hostile(table(spark, rows)).repartition(parts_), hot).collect()
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == passages(rows)
     assert suffixes.repeated_passages(table(spark, [])).count() == 0
 
