@@ -319,3 +319,10 @@ def test_license_scan(spark):
         assert got[i].n_words == len(w) and sorted((x["at"], x["label"]) for x in got[i].places) == places
         assert {(x["label"], x["containment"]) for x in got[i].held} == held
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_license_scan_keeps_two_notices_of_one_line(spark):
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and len(t) > 50)
+    rows = [(1, f"{mit}. Licensed under the Apache License 2.0"), (2, "This work is licensed under the GNU General Public License, version 3.")]
+    got = {r.doc_id: {x["label"] for x in r.held} for r in licenses.scan(table(spark, rows)).collect()}
+    assert got == {1: {"mit", "apache-2.0"}, 2: {"gpl-3.0"}}

@@ -7,8 +7,9 @@ are left on both sides; only what passes these filters is verified by intersecti
 operator and small by nature, so their prefixes travel with the plan as literals; document words are only exploded for blocks
 that have a prefix word. Base phrases are counted beside, word by word, in every text.
 
-Defined results: a null text is empty: no words, no places, null first and last word, no labels, score 0. Of several
-templates in a block those with the highest containment give labels, all of them at a tie. Repeated rows get the same result. An empty table gives an empty result; other columns
+Defined results: a null text is empty: no words, no places, null first and last word, no labels, score 0. Every
+template at the threshold gives its label, but of several of one family (FAMILIES: notices that differ in a word or a number) in a
+block only those with the highest containment, all of them at a tie. Repeated rows get the same result. An empty table gives an empty result; other columns
 are not read.
 """
 
@@ -44,6 +45,8 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
 ]
 THRESHOLD = 0.8
+#: Labels whose sentences differ in so few words that one notice reaches the threshold of several. Others are families of their own.
+FAMILIES = {x: "gnu" for x in ("gpl-2.0", "gpl-3.0", "lgpl", "agpl")} | {x: "cc-by" for x in ("cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc-by-nd-4.0")}
 #: What stands between words: ASCII other than letters and digits. A-Z is lower-cased before.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -118,12 +121,17 @@ def license_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     return met.select("doc_id", "row_id", "line", "label", (F.col("shared") / F.col("t_size")).alias("containment"))
 
 
+def family(label: Column) -> Column:
+    known = F.create_map(*[F.lit(v) for kv in FAMILIES.items() for v in kv])
+    return F.coalesce(known[label], label)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """For each row: doc_id, n_words, places (label and start of each base phrase), held (label and containment of the templates that
-    its blocks hold; of several templates in one block those with the highest containment)."""
+    its blocks hold; of several templates of a family in one block those with the highest containment)."""
     d = id_and_text(docs).withColumn("row_id", F.xxhash64("doc_id", "text"))
     blocks = license_blocks(d, templates, threshold)
-    of_block = Window.partitionBy("row_id", "doc_id", "line")
+    of_block = Window.partitionBy("row_id", "doc_id", "line", family(F.col("label")))
     blocks = blocks.withColumn("most", F.max("containment").over(of_block)).where("containment = most")
     held = blocks.groupBy("row_id", "doc_id").agg(F.collect_set(F.struct("label", "containment")).alias("held"))
     words = words_of(F.col("text"))
