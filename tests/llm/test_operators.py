@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -326,3 +327,16 @@ def test_license_scan_keeps_two_notices_of_one_line(spark):
     rows = [(1, f"{mit}. Licensed under the Apache License 2.0"), (2, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r.doc_id: {x["label"] for x in r.held} for r in licenses.scan(table(spark, rows)).collect()}
     assert got == {1: {"mit", "apache-2.0"}, 2: {"gpl-3.0"}}
+
+
+def test_license_scan_finds_wrapped_notices(spark):
+    rows = []
+    for i, (_, t) in enumerate(licenses.TEMPLATES):
+        for k, width in enumerate((12, 40, 72)):
+            rows.append((10 * i + k, "Some file.\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, width, break_long_words=False)) + "\n\nOther words."))
+    rows += [(500, "all rights\n" + "filler " * 30 + "\nreserved"), (501, "This\nwork is licensed under the GNU General Public License, version\n3."), (502, "\n" * 5000 + "All rights" + "\n" * 5000 + "reserved.")]
+    got = {r.doc_id: {(x["label"], x["containment"]) for x in r.held} for r in licenses.scan(table(spark, rows), across_lines=True).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        for k in range(3):
+            assert (label, 1.0) in got[10 * i + k]
+    assert got[500] == set() and {x for x, _ in got[501]} == {"gpl-3.0"} and got[502] == {("proprietary", 1.0)}

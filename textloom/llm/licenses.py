@@ -1,6 +1,6 @@
 """License scans as an exact set-similarity join, in DataFrame operations alone.
 
-Text blocks are lines, license templates are short word sets. A block holds a template when it has at least ``threshold`` of the
+Text blocks are lines and, in the registered query, runs of consecutive lines that can hold a template, as notices are wrapped; license templates are short word sets. A block holds a template when it has at least ``threshold`` of the
 template's different words. Words are ordered by how many documents have them, rarest first. A block that holds a template
 shares a word with the template's prefix in this order, is long enough, and at the place of the first shared word enough words
 are left on both sides; only what passes these filters is verified by intersection. The templates are a parameter of the
@@ -66,6 +66,12 @@ def _tokens(sentence: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(GAP, sentence.lower()) if w))
 
 
+def _length(sentence: str) -> int:
+    import re
+
+    return len([w for w in re.split(GAP, sentence) if w])
+
+
 def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
 
@@ -91,34 +97,77 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def license_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_id, label, containment and line (the block's number, from 0) of each block that holds a template.
+def _line_runs(lines: Column, longest: int) -> Column:
+    """Runs of consecutive lines: an array of (first, last, line, inner, own, but_last, but_first).
+
+    lines: array of (line, n, own) of the lines with words. A run's inner words, those of the lines between its first and its last, are
+    fewer than ``longest``; both of these lines have words of templates. but_last and but_first are the run's words without that line."""
+    none = F.expr("cast(array() as array<string>)")
+
+    def run(first, last, line, inner, own, but_last, but_first):
+        return F.struct(first.alias("first"), last.alias("last"), line.alias("line"), inner.alias("inner"), own.alias("own"), but_last.alias("but_last"), but_first.alias("but_first"))
+
+    def from_line(x, i):
+        alone = F.array(run(i, i, x["line"], F.lit(0), x["own"], none, none))
+
+        def step(acc, y):
+            at = acc["at"] + 1
+            longer = F.concat(acc["runs"], F.array(run(i, at, x["line"], acc["inner"], F.array_union(acc["own"], y["own"]), acc["own"], F.array_union(acc["rest"], y["own"]))))
+            fits = (acc["inner"] < longest) & (F.size(y["own"]) > 0)
+            return F.struct(
+                at.alias("at"), (acc["inner"] + y["n"]).alias("inner"), F.array_union(acc["own"], y["own"]).alias("own"), F.array_union(acc["rest"], y["own"]).alias("rest"),
+                F.when(fits, longer).otherwise(acc["runs"]).alias("runs"),
+            )
+
+        zero = F.struct(i.alias("at"), F.lit(0).alias("inner"), x["own"].alias("own"), none.alias("rest"), alone.alias("runs"))
+        # Every line has a word, so no run has more lines than that.
+        runs = F.aggregate(F.slice(lines, i + 2, F.lit(longest)), zero, step, lambda acc: acc["runs"]) if longest else alone
+        return F.when(F.size(x["own"]) > 0, runs).otherwise(F.slice(alone, 1, F.lit(0)))
+
+    return F.flatten(F.transform(lines, from_line))
+
+
+def license_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
+    """doc_id, row_id, label, containment and line (the first line's number, from 0) of each block that holds a template, with the
+    block's first and last place among the text's lines with words.
 
-    docs: doc_id, text and row_id, which tells different rows apart."""
+    docs: doc_id, text and row_id, which tells different rows apart. Blocks are lines; with ``across_lines`` also runs of lines."""
     sets = [(label, _tokens(t)) for label, t in templates]
     order = word_order(docs, sorted({w for _, t in sets for w in t}))
     words_in_order = sorted(order, key=order.get)
-    rows = []
+    rows, needs = [], []
     for number, (label, tokens) in enumerate(sets):
         tokens = sorted(tokens, key=order.get)
         need = math.ceil(threshold * len(tokens) - 1e-9)
+        needs.append((tokens, need))
+        # A template's words and as many strange ones as it may lack stand in this many words; two of them are on the outer lines.
+        inner = math.ceil(_length(templates[number][1]) / threshold) - 2
         for i, w in enumerate(tokens[: len(tokens) - need + 1]):
-            rows.append((number, label, w, i, len(tokens), need, tokens))
-    schema = "template int, label string, word string, t_at int, t_size int, need int, t_words array<string>"
+            rows.append((number, label, w, i, len(tokens), need, tokens, max(0, inner)))
+    schema = "template int, label string, word string, t_at int, t_size int, need int, t_words array<string>, most_inner int"
     prefix = docs.sparkSession.createDataFrame(rows, schema)
     prefix_words = sorted({r[2] for r in rows})
-    # A cheap look for any prefix word leaves few lines to be split into words.
-    lines = docs.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    lines = lines.select("row_id", "doc_id", "line", F.array_distinct(words_of(F.col("block"))).alias("words"))
-    lines = lines.where(F.arrays_overlap("words", _texts(prefix_words)))
+    longest = max((r[7] for r in rows), default=-1) + 1 if across_lines else 0
+    # A text that lacks the words of every template has no block to look at; few texts are left to be split into lines.
+    vocabulary = F.filter(words_of(F.col("text")), lambda w: w.isin(words_in_order))
+    likely = docs.select("row_id", "doc_id", "text", F.array_distinct(vocabulary).alias("has"))
+    enough = [F.size(F.array_intersect("has", _texts(tokens))) >= need for tokens, need in needs]
+    likely = likely.where(~_all([~e for e in enough])) if enough else likely.limit(0)
+    lines = F.transform(F.transform(F.split("text", "\n"), words_of), lambda w, i: F.struct(i.alias("line"), F.size(w).alias("n"), F.array_distinct(F.filter(w, lambda x: x.isin(words_in_order))).alias("own")))
+    lines = likely.select("row_id", "doc_id", F.filter(lines, lambda x: x["n"] > 0).alias("lines"))
+    found = lines.select("row_id", "doc_id", F.explode(_line_runs(F.col("lines"), longest)).alias("run")).select("row_id", "doc_id", "run.*")
+    found = found.where(F.arrays_overlap("own", _texts(prefix_words)))
     # The block's words that any template has, in the global order.
-    lines = lines.select("row_id", "doc_id", "line", F.array_intersect(_texts(words_in_order), F.col("words")).alias("own"))
-    exploded = lines.select("row_id", "doc_id", "line", "own", F.posexplode("own").alias("b_at", "word")).where(F.col("word").isin(prefix_words))
+    found = found.withColumn("own", F.array_intersect(_texts(words_in_order), F.col("own")))
+    exploded = found.select("*", F.posexplode("own").alias("b_at", "word")).where(F.col("word").isin(prefix_words))
     met = exploded.join(F.broadcast(prefix), "word").where((F.size("own") >= F.col("need")) & (F.least(F.col("t_size") - F.col("t_at"), F.size("own") - F.col("b_at")) >= F.col("need")))
+    met = met.where(F.col("inner") <= F.col("most_inner"))
     # Only at the first shared word, so that a block and a template meet once.
     met = met.where(F.get(F.array_intersect("own", "t_words"), F.lit(0)) == F.col("word"))
     met = met.withColumn("shared", F.size(F.array_intersect("own", "t_words"))).where("shared >= need")
-    return met.select("doc_id", "row_id", "line", "label", (F.col("shared") / F.col("t_size")).alias("containment"))
+    # A run is a block of its own only where its first and its last line add to it.
+    met = met.where((F.size(F.array_intersect("but_last", "t_words")) < F.col("shared")) & (F.size(F.array_intersect("but_first", "t_words")) < F.col("shared")))
+    return met.select("doc_id", "row_id", "line", "label", (F.col("shared") / F.col("t_size")).alias("containment"), "first", "last")
 
 
 def family(label: Column) -> Column:
@@ -126,12 +175,12 @@ def family(label: Column) -> Column:
     return F.coalesce(known[label], label)
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
     """For each row: doc_id, n_words, places (label and start of each base phrase), held (label and containment of the templates that
     its blocks hold; of several templates of a family in one block those with the highest containment)."""
     d = id_and_text(docs).withColumn("row_id", F.xxhash64("doc_id", "text"))
-    blocks = license_blocks(d, templates, threshold)
-    of_block = Window.partitionBy("row_id", "doc_id", "line", family(F.col("label")))
+    blocks = license_blocks(d, templates, threshold, across_lines).withColumn("at", F.explode(F.sequence("first", "last")))
+    of_block = Window.partitionBy("row_id", "doc_id", "at", family(F.col("label")))  # the blocks that share a line
     blocks = blocks.withColumn("most", F.max("containment").over(of_block)).where("containment = most")
     held = blocks.groupBy("row_id", "doc_id").agg(F.collect_set(F.struct("label", "containment")).alias("held"))
     words = words_of(F.col("text"))
@@ -151,7 +200,7 @@ def _labelled(label: str):
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     """Base phrases and held templates of every document."""
-    found = scan(read_table(spark, sf_dir, "documents"))
+    found = scan(read_table(spark, sf_dir, "documents"), across_lines=True)
     starts, base = F.transform("places", lambda x: x["at"]), F.transform("places", lambda x: x["label"])
     every = F.concat(base, F.transform("held", lambda x: x["label"]))
     best = F.coalesce(F.array_max(F.transform("held", lambda x: x["containment"])), F.lit(0.0))
