@@ -171,6 +171,15 @@ def test_reparameterised_questions(spark):
     assert decontaminate.contaminated(table(spark, docs), b.limit(0)).count() == 0
 
 
+def test_copies_of_items_without_template_windows(spark):
+    items = [(1, "What Is The Capital City Of New South Wales"), (2, "The Old Man And The Sea"), (3, "2 3 5 7 11 13 17 next"), (4, "Anna has five red apples")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = [*[(i, f"some words {t} and more") for i, t in items], *[(10 + i, t.upper()) for i, t in items], (20, "What Was The Largest Old Town Of North East Kent"), (21, "1 2 4 8 16 32 64 next")]
+    for shipped in (decontaminate.MAX_SHIPPED, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, docs), b, max_shipped=shipped).collect()}
+        assert got == {(i, i) for i, _ in items} | {(10 + i, i) for i, _ in items}
+
+
 # 5
 
 

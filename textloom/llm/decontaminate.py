@@ -10,7 +10,9 @@ windows that some item has; a larger benchmark is joined by a shuffle on the win
 texts are looked up. Words are located and hashed by array steps over bytes.
 
 Defined results: null and empty texts hold no item. An item with fewer than five words is one window of all its words; an item
-without words is found nowhere. A window needs two words that are not placeholders, or all of a shorter item. Repeated windows of
+without words is found nowhere. A window needs two words that are not placeholders, or all of a shorter item. An item with fewer
+than FEW windows (none, if all its words are placeholders) is also looked up by windows of its literal words, lower-cased, so that a
+copy is found whatever stands around it; where both find it, the templates give the figures. Repeated windows of
 an item or a document count once. Repeated rows of documents and items give their own results, by id. Columns other than the id
 and the text are not read.
 """
@@ -26,6 +28,8 @@ from textloom.llm.common import blocks, id_and_text, materialise, mix64, read_ta
 WINDOW = 5
 #: Share of an item's windows that a document must have, and share of its slots that must be consistent.
 THRESHOLD, CONSISTENT = 0.8, 0.5
+#: Template windows from which on an item stands in every copy: the words before a copy can change its first window alone.
+FEW = 5
 #: Windows of the benchmark that travel with the tasks at most (16 bytes each).
 MAX_SHIPPED = 2_000_000
 BLOCK_BYTES = 4 << 20
@@ -78,12 +82,12 @@ def _hash_of(word: str) -> int:
 
 
 def template(raw: bytes, doc_start: np.ndarray):
-    """Words of several texts that stand one after the other, each ended by a new line: start, end, template symbol, is placeholder.
+    """Words of several texts that stand one after the other, each ended by a new line: start, end, hash, template symbol, is placeholder.
 
     doc_start: where the texts start."""
     start, end, h, kind = word_table(raw)
     if not len(start):
-        return start, end, h, np.zeros(0, bool)
+        return start, end, h, h, np.zeros(0, bool)
     stops = np.concatenate([[0], np.cumsum((kind >> 3) & 1)])
     prev_end = np.concatenate([[0], end[:-1]])
     opens = stops[start] > stops[prev_end]
@@ -94,13 +98,13 @@ def template(raw: bytes, doc_start: np.ndarray):
     unit = np.zeros(len(start), bool)
     unit[1:] = number[:-1] & ~opens[1:] & np.isin(h[1:], np.array([_hash_of(u) for u in UNITS], np.uint64))
     symbol = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, h)))
-    return start, end, symbol, number | name | unit
+    return start, end, h, symbol, number | name | unit
 
 
-def windows_of(symbol: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every ``size`` consecutive symbols."""
+def windows_of(symbol: np.ndarray, size: int, literal: bool = False) -> np.ndarray:
+    """A hash of every ``size`` consecutive symbols; literal windows have hashes of their own."""
     n = len(symbol) - size + 1
-    h = np.full(max(0, n), np.uint64(size), np.uint64)
+    h = np.full(max(0, n), np.uint64(size + (1 << 32 if literal else 0)), np.uint64)
     for i in range(size if n > 0 else 0):
         h = mix64(h * np.uint64(0xFF51AFD7ED558CCD) + symbol[i : i + n])
     return h
@@ -108,28 +112,33 @@ def windows_of(symbol: np.ndarray, size: int) -> np.ndarray:
 
 def text_windows(texts: list[bytes], sizes: list[int]):
     """For each block of texts: the block's first text, raw bytes, word starts and ends, placeholder flags and a list of
-    (window hash, first word, text, size) arrays. Windows do not leave their text."""
+    (window hash, first word, text, size) arrays. Windows do not leave their text. Those of a negative size are of literal words."""
     for low, high in blocks([len(t) for t in texts], BLOCK_BYTES):
         raw = b"\n".join([*texts[low:high], b""])
         doc_start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[low:high]])])
-        start, end, symbol, slot = template(raw, doc_start[:-1])
+        start, end, word, symbol, slot = template(raw, doc_start[:-1])
         of = np.searchsorted(doc_start, start, side="right") - 1
         filled = np.concatenate([[0], np.cumsum(~slot)])
         found = []
         for size in sizes:
-            h = windows_of(symbol, size)
-            first = np.flatnonzero((of[: len(h)] == of[size - 1 :][: len(h)]) & (filled[size:][: len(h)] - filled[: len(h)] >= min(2, size if size < WINDOW else 2) * (size >= WINDOW)))
+            n, literal = abs(size), size < 0
+            h = windows_of(word if literal else symbol, n, literal)
+            least = 0 if literal or n < WINDOW else 2
+            first = np.flatnonzero((of[: len(h)] == of[n - 1 :][: len(h)]) & (filled[n:][: len(h)] - filled[: len(h)] >= least))
             found.append((h[first], first, of[first], size))
         yield low, raw, start, end, slot, found
 
 
 def _values(raw: bytes, start: np.ndarray, end: np.ndarray, slot: np.ndarray, first: int, size: int) -> str:
-    """The values in the placeholders of a window, one in each place."""
+    """The values in the placeholders of a window, one in each place; a literal window has none."""
+    if size < 0:
+        return ""
     return "\x1f".join(raw[start[i] : end[i]].decode(errors="replace").lower() if slot[i] else "" for i in range(first, first + size))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, window (long), size, n_windows (different ones of the item), slots (its values, \\x1f between)."""
+    """item_id, window (long), size (negative for literal words), n_windows (different ones of the item in this form), slots (its values,
+    \\x1f between)."""
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +147,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             ids, out = batch.column(0).to_pylist(), []
             for item, t in zip(ids, text_bytes(batch.column(1)), strict=True):
                 n = len(word_table(t)[0])
-                for _, raw, start, end, slot, found in text_windows([t], [min(WINDOW, n)] if n else []):
+                for _, raw, start, end, slot, found in text_windows([t], [min(WINDOW, n), -min(WINDOW, n)] if n else []):
+                    if found and len(np.unique(found[0][0])) >= FEW:
+                        found = found[:1]
                     for h, first, _, size in found:
                         h, at = np.unique(h, return_index=True)
                         out += [(item, int(w), size, len(h), _values(raw, start, end, slot, int(first[i]), size)) for w, i in zip(h.view(np.int64), at, strict=True)]
@@ -181,23 +192,25 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, consistent: float = CONSISTENT, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, containment, n_slots, n_consistent, n_changed for each item found in a document."""
     items = materialise(item_windows(benchmark), "item-windows")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most 2 * WINDOW numbers
     wanted = None
     if items.count() <= max_shipped:
         wanted = np.unique(np.array([r["window"] for r in items.select("window").distinct().collect()], np.int64).view(np.uint64))
     found = document_windows(docs, sizes if wanted is None or len(wanted) else [], wanted)
-    joined = found.join(items.select("item_id", "window", "n_windows", F.col("slots").alias("item_slots")), "window")
-    per_pair = joined.groupBy("doc_id", "item_id").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("window").alias("n_matched"), F.collect_set(F.struct("item_slots", "slots")).alias("filled"))
+    joined = found.join(items.select("item_id", "window", "n_windows", (F.col("size") < 0).alias("literal"), F.col("slots").alias("item_slots")), "window")
+    per_pair = joined.groupBy("doc_id", "item_id", "literal").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("window").alias("n_matched"), F.collect_set(F.struct("item_slots", "slots")).alias("filled"))
     per_pair = per_pair.where(F.col("n_matched") >= F.ceil(F.col("n_windows") * F.lit(threshold) - 1e-9))
     pairs = F.flatten(F.transform("filled", lambda f: F.filter(F.arrays_zip(F.split(f["item_slots"], "\x1f").alias("a"), F.split(f["slots"], "\x1f").alias("b")), lambda x: x["a"] != "")))
     per_pair = per_pair.withColumn("pairs", F.array_distinct(pairs)).withColumn("values", F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     once = F.filter("values", lambda v: F.size(F.filter("pairs", lambda x: x["a"] == v)) == 1)
     out = per_pair.select(
-        "doc_id", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
+        "doc_id", "item_id", "literal", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"),
         F.size("values").cast("long").alias("n_slots"), F.size(once).cast("long").alias("n_consistent"),
         F.size(F.filter("pairs", lambda x: x["a"] != x["b"])).cast("long").alias("n_changed"),
     )
-    return out.where(F.col("n_consistent") >= F.col("n_slots") * F.lit(consistent))
+    out = out.where(F.col("n_consistent") >= F.col("n_slots") * F.lit(consistent))
+    names = [c for c in out.columns if c not in ("doc_id", "item_id", "literal")]
+    return out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*names), "literal").alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
