@@ -60,6 +60,26 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert pii.scan(table(spark, [])).count() == 0
 
 
+def test_secrets_stand_anywhere(spark):
+    h = [hashlib.md5(str(i).encode()).hexdigest() for i in range(3)]
+    rows = list(enumerate([h[0], f"key1: {h[0]}", f"1. {h[0]}", f"sha256 {h[0]}", "\n".join(h), f"token={h[0]}", f"a,{h[0]},b", f"x{h[0]} {h[0]}Z", f"{h[0]} {'w' * 100} {h[1]}"]))
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.extra] for r in pii.scan(table(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i] == [("secret", m.start(), m.end()) for m in re.finditer("(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])", t)]
+
+
+def test_contexts_include_tokens_and_text_starts(spark):
+    rows = [(1, "A1 b2\tc3"), (2, f"some {'W' * 100} x1"), (3, "  id 77 is (5)"), (4, "one Two three 4 5")]
+    got = {(r.doc_id, r.token): (r.s, r.pattern) for r in pii.candidates(table(spark, rows)).collect()}
+    assert got == {
+        (1, "A1"): (0, ""), (1, "b2"): (3, "a1"), (1, "c3"): (6, "a1 b2"), (2, "x1"): (106, f"some {'w' * 100}"), (3, "77"): (5, "id"), (3, "5"): (12, "77 is"),
+        (4, "4"): (14, "two three"), (4, "5"): (16, "three 4"),
+    }
+    rows = [(i, f"{hashlib.md5(str(i).encode()).hexdigest()} is") for i in range(20)] + [(50, "UNSEEN-77 is"), (51, "not UNSEEN-78")]
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.extra] for r in pii.scan(table(spark, rows)).collect()}
+    assert got[50] == [("secret", 0, 9)] and got[51] == []
+
+
 # 2
 
 

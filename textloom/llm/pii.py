@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
 Seeds are the matches of fixed expressions (e-mail and IP addresses, payment cards, telephone numbers) and of long hexadecimal
-secrets. The words to the left of a seed are a lexical pattern of its kind. All identifier-like tokens of the corpus and their
+secrets, all found in whole texts. The words to the left of a seed, identifiers among them, are a lexical pattern of its kind; the start
+of a text is a pattern too. All identifier-like tokens of the corpus and their
 patterns form a graph, aggregated to (instance, pattern, count) edges; a few rounds score patterns by the instances that they
 extract and instances by the patterns that extract them. Patterns that are confident enough and have enough different seeds
 then mark tokens that no expression knows.
@@ -101,32 +102,46 @@ def _kept(kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and for each base kind an array of (s, e, m) under its name."""
+    """doc_id and for each base kind and for secret an array of (s, e, m) under its name."""
     d = id_and_text(docs)
     text = F.col("text")
     # One look at each text decides whether any expression has to run.
     any_digit = F.regexp_like(text, F.lit("[0-9]"))
     d = d.select("doc_id", "text", any_digit.alias("digit"))
     needs = {"email": text.contains("@"), "ip": F.col("digit"), "card": F.col("digit"), "phone": F.col("digit") & text.contains("+")}
-    raw = d.select("doc_id", *[_found(text, BASE[k], needs[k]).alias(k) for k in BASE])
-    return raw.select("doc_id", *[_kept(k).alias(k) for k in BASE])
+    secret = _found(text, SECRET, F.regexp_like(text, F.lit("[0-9a-f]{32}")))
+    raw = d.select("doc_id", *[_found(text, BASE[k], needs[k]).alias(k) for k in BASE], secret.alias("secret"))
+    return raw.select("doc_id", *[_kept(k).alias(k) for k in BASE], "secret")
+
+
+def _last_words(text: Column) -> Column:
+    """The last two words of a text, or as many as it has, in lower case. Read backwards, so that a text of any length takes one look."""
+    found = F.reverse(F.regexp_extract(F.reverse(text), r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?)", 1))
+    return F.lower(F.regexp_replace(found, r"[\x20\x09-\x0D]+", " "))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Identifier-like tokens with their contexts: doc_id, s, e, token, pattern (the two words to the left, lower case)."""
+    """Identifier-like tokens with their contexts: doc_id, s, e, token, pattern (the two words to the left, lower case; fewer where the
+    text has no more, and none at its start)."""
     d = id_and_text(docs)
     text = F.col("text")
     both = F.lit(rf"\G([\s\S]*?)({TOKEN})")
     needs = F.regexp_like(text, F.lit("[0-9@]"))
     d = d.where(needs).select("doc_id", F.regexp_extract_all(text, both, F.lit(1)).alias("gaps"), F.regexp_extract_all(text, both, F.lit(2)).alias("hits"))
-    # Only the end of a gap is a context, so gaps are cut before they are exploded.
     ends = _places(F.col("gaps"), F.col("hits"))
-    words = F.transform("gaps", lambda g: F.lower(F.regexp_replace(F.trim(F.regexp_extract(F.substring(g, -60, 60), r"(?:([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0)), r"[\x20\x09-\x0D]+", " ")))
-    d = d.select("doc_id", F.explode(F.arrays_zip(ends.alias("at"), "hits", words.alias("pattern"))).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.hits").alias("hit"), F.col("x.pattern").alias("pattern"))
+    d = d.select("doc_id", "gaps", "hits", F.transform("gaps", _last_words).alias("near"))
+
+    def before(values, i, back):
+        return F.coalesce(F.get(F.col(values), i - back), F.lit(""))
+
+    # A gap of fewer than two words goes on in the tokens and the gap before it.
+    wider = lambda w, i: F.when(w.contains(" "), w).otherwise(_last_words(F.concat(before("hits", i, 2), before("gaps", i, 1), before("hits", i, 1), before("gaps", i, 0))))
+    d = d.select("doc_id", "gaps", "hits", F.transform("near", wider).alias("words"))
+    d = d.select("doc_id", F.explode(F.arrays_zip(ends.alias("at"), "hits", F.col("words").alias("pattern"))).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.hits").alias("hit"), F.col("x.pattern").alias("pattern"))
     lead = F.length("hit") - F.length(F.regexp_replace("hit", LEAD, ""))
     bare = F.regexp_replace(F.regexp_replace("hit", LEAD, ""), TRAIL, "")
     d = d.select("doc_id", (F.col("at") + lead).alias("s"), bare.alias("token"), "pattern")
-    return d.where((F.length("token") >= 1) & (F.col("pattern") != "")).select("doc_id", "s", (F.col("s") + F.length("token")).alias("e"), "token", "pattern")
+    return d.where(F.length("token") >= 1).select("doc_id", "s", (F.col("s") + F.length("token")).alias("e"), "token", "pattern")
 
 
 def _seed(token: Column) -> Column:
@@ -158,25 +173,28 @@ def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def discovered(docs: DataFrame, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """Tokens that confident patterns mark or that are seeds of a kind of the method's own: doc_id, kind, s, e."""
+    """Tokens that confident patterns mark and no expression matches: doc_id, kind, s, e."""
     found = materialise(candidates(docs).withColumn("seed", _seed(F.col("token"))), "pii-candidates")
     edges = materialise(found.groupBy("token", "pattern", "seed").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     good = pattern_scores(edges, rounds).where((F.col("score") >= confident) & (F.col("seeds") >= least_seeds))
     good = materialise(good.groupBy("pattern").agg(F.max_by("kind", F.struct("score", F.expr("-ascii(kind)"))).alias("kind")), "pii-patterns")
-    fresh = found.where((F.col("seed").isNull()) & (F.length("token") >= LEAST_LENGTH)).join(good, "pattern").select("doc_id", "kind", "s", "e")
-    return fresh.unionAll(found.where("seed = 'secret'").select("doc_id", F.col("seed").alias("kind"), "s", "e"))
+    return found.where((F.col("seed").isNull()) & (F.length("token") >= LEAST_LENGTH)).join(good, "pattern").select("doc_id", "kind", "s", "e")
 
 
 def scan(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, the base kinds' spans (arrays of s, e, m) and ``extra``: an array of (kind, s, e) that the method adds.
+    """doc_id, the base kinds' spans (arrays of s, e, m) and ``extra``: an array of (kind, s, e) that the method adds: secrets
+    and what patterns mark.
 
-    A span of the method that touches a base span of the same document is left out."""
+    A span of the method that touches a base span of the same document is left out, and a marked one that touches a secret."""
     base = base_spans(docs)
     extra = discovered(docs, **settings).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("kind", "s", "e"))).alias("extra"))
-    joined = base.join(extra, "doc_id", "left")
-    taken = F.concat(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in BASE])
-    clear = F.filter("extra", lambda x: ~F.exists(taken, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return joined.select("doc_id", *BASE, F.coalesce(clear, F.expr("cast(array() as array<struct<kind: string, s: int, e: int>>)")).alias("extra"))
+    none = F.expr("cast(array() as array<struct<kind: string, s: int, e: int>>)")
+    joined = base.join(extra, "doc_id", "left").withColumn("extra", F.coalesce("extra", none))
+    spans = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    joined = joined.withColumn("taken", F.concat(*[spans(k) for k in BASE])).withColumn("sealed", F.concat("taken", spans("secret")))
+    clear = lambda found, of: F.filter(found, lambda x: ~F.exists(of, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    secrets = F.transform(clear("secret", F.col("taken")), lambda x: F.struct(F.lit("secret").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return joined.select("doc_id", *BASE, F.array_sort(F.concat(secrets, clear("extra", F.col("sealed")))).alias("extra"))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
