@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import tempfile
 import uuid
 import zlib
 
@@ -16,6 +18,9 @@ CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 200
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 1000
+#: Longs (a power of two) and hashes of the screens that tell which rows' texts must move: 8 MB. Beyond some 20 million ids a screen
+#: lets more and more other rows pass, which costs their way and nothing else.
+SCREEN_WORDS, SCREEN_HASHES = 1 << 20, 2
 #: ASCII white space, as the contracts name it: [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z and leaves every other byte.
@@ -27,10 +32,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of its own only where the setting is unset."""
+    """The shared folder of the cluster, as spark.checkpoint.dir names it. A local session without the setting gets a folder of its own;
+    on a cluster a machine's own folder would not do, so there the setting must be there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -55,6 +63,50 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def id_hashes(doc_id: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(i), doc_id.cast("long")) for i in range(SCREEN_HASHES)]
+
+
+def screen_of(table: DataFrame, hashes: Column) -> DataFrame:
+    """A Bloom filter over the hashes (an array of longs, whose lowest bits count) of a table's rows, as one row (bits: an array of
+    SCREEN_WORDS longs) made of partial sums."""
+    words = table.select(F.explode(hashes).alias("h")).select(F.expr(f"cast(shiftrightunsigned(h, 6) & {SCREEN_WORDS - 1} as int)").alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    every = table.sparkSession.range(0, SCREEN_WORDS, 1, 1).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("bit"))
+    every = words.unionAll(every).groupBy("i").agg(F.bit_or("bit").alias("word"))
+    # One row of SCREEN_WORDS numbers, however many rows there are.
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("bits"))
+
+
+def passes(doc_id: Column) -> Column:
+    """Whether the screen, whose ``bits`` are at hand, may have a doc_id; false only if it does not."""
+    h = id_hashes(doc_id)
+    word = lambda x: F.get(F.col("bits"), F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(SCREEN_WORDS - 1)).cast("int"))
+    bits = [F.getbit(word(x), x.bitwiseAND(F.lit(63)).cast("int")) == 1 for x in h]
+    return functools.reduce(lambda a, b: a & b, bits)
+
+
+def split_rows(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose doc_id is certainly not among ``ids``, and the others, told apart where they are read: no text moves.
+
+    The screen is one row of a fixed 8 MB at any size; with very many ids it lets more rows pass and loses none."""
+    screen = F.broadcast(materialise(screen_of(ids, F.array(*id_hashes(F.col("doc_id")))), "screen"))
+    return docs.join(screen, passes(F.col("doc_id")), "left_anti"), docs.join(screen, passes(F.col("doc_id")), "left_semi")
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """docs without the rows whose doc_id (null equals null) is in ``gone``, which is written first; ``also`` names further columns of
+    gone and what they must equal. Only rows that a screen lets pass are joined, so the other texts stay where they are read."""
+    also = also or {}
+    gone = materialise(gone.select(F.col("doc_id").alias("gone id"), *[F.col(c).alias(f"gone {c}") for c in also]).distinct(), "gone")
+    rest, near = split_rows(docs, gone.select(F.col("gone id").alias("doc_id")))
+    for c, value in also.items():
+        near = near.withColumn(f"own {c}", value)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone id"))
+    for c in also:
+        same = same & (F.col(f"own {c}") == F.col(f"gone {c}"))
+    return rest.unionByName(near.join(gone, same, "left_anti").select(docs.columns))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts travel to Python BATCH_ROWS at a time, unless the session has its own setting: a batch of long texts must fit a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

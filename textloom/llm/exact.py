@@ -10,8 +10,8 @@ Filters are sharded by digest and meet the incoming digests shard by shard; noth
 joins that can be split and in aggregates with partial sums.
 
 Defined results: null and blank texts normalise to the empty text and are equal. Of equal texts the one with the most code
-points in the original stays, then the smallest doc_id. Repeated doc_ids are rows of their own. An empty table gives an empty
-result; columns other than doc_id and text are not read.
+points in the original stays, then the smallest doc_id; a null doc_id comes last, and rows without one are kept or go together.
+Repeated doc_ids are rows of their own. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +21,20 @@ import struct
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import id_and_text, materialise, mix64, read_table
+from textloom.llm.common import discard, drop_rows, id_and_text, id_hashes, materialise, mix64, passes, read_table, screen_of, split_rows
 
 #: Digests of one filter shard, about; small tables have SHARDS shards all the same.
 SHARD_KEYS = 500_000
 SHARDS = 32
 #: Batches that op9 deals the table into: all but the last have become snapshots when the last one comes.
 BATCHES = 3
+#: Rows of a bucket that meet a copy of its first text in one part.
+PART_ROWS = 512
+#: Stands for a bucket all of whose doc_ids are null.
+NO_ID = -(1 << 63)
 
 
 # The filter: three cells in consecutive segments for each key, one byte a cell.
@@ -93,10 +97,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
 
 
+def text_digest(text: Column) -> Column:
+    return F.sha2(normalised(F.coalesce(text, F.lit(""))), 256)
+
+
 def digest_rows(docs: DataFrame) -> DataFrame:
     """doc_id, digest (sha256 of the normalised text, hexadecimal), n_points (code points of the original)."""
     d = id_and_text(docs)
-    return d.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("digest"), F.length("text").cast("long").alias("n_points"))
+    return d.select("doc_id", text_digest(F.col("text")).alias("digest"), F.length("text").cast("long").alias("n_points"))
 
 
 def _key() -> Column:
@@ -157,9 +165,8 @@ class Snapshots:
         return self.screen(rows).join(buckets, ["digest", "snapshot"]).select("digest", "bucket")
 
 
-def assign(batches: list[DataFrame], shards: int) -> DataFrame:
+def assign(batches: list[DataFrame], snapshots: Snapshots) -> DataFrame:
     """The bucket of every digest: digest, bucket (a row of the first batch that has the digest, the smallest)."""
-    snapshots = Snapshots(shards)
     for i, batch in enumerate(batches):
         new = batch.groupBy("digest").agg(F.min("doc_id").alias("bucket"))
         if i:
@@ -171,16 +178,25 @@ def assign(batches: list[DataFrame], shards: int) -> DataFrame:
     return out.select("digest", "bucket")
 
 
-def differing(docs: DataFrame, shared: DataFrame) -> DataFrame:
+def differing(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows that share a digest but not the bytes of the bucket's own text: doc_id, bucket, own (the smallest doc_id of their text).
 
-    shared: digest, bucket of digests that several rows have. Texts of other digests go no further than the first join."""
-    d = id_and_text(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
-    members = materialise(d.withColumn("digest", F.sha2("norm", 256)).join(shared, "digest").select("bucket", "doc_id", "norm"), "same-digest")
-    first = members.where("doc_id = bucket").select("bucket", F.col("norm").alias("first_norm")).dropDuplicates(["bucket"])
-    other = members.join(first, "bucket").where("norm <> first_norm").select("bucket", "doc_id", "norm")
+    rows: doc_id, digest of every row. shared: digest, bucket, n (rows) of digests that several rows have. Texts of other rows stay
+    where they are read, but for those that the screen of members lets pass by chance. A bucket's first text goes to one part for
+    each PART_ROWS of its rows, so that many copies of a text do not meet in one task."""
+    screen = materialise(screen_of(rows.join(shared, "digest"), F.array(*id_hashes(F.col("doc_id")))), "screen")
+    d = id_and_text(docs).join(F.broadcast(screen), passes(F.col("doc_id")), "left_semi").select("doc_id", normalised(F.col("text")).alias("norm"))
+    d = d.withColumn("digest", F.sha2("norm", 256)).join(shared, "digest")
+    parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int")
+    d = d.select("bucket", "doc_id", "norm", parts.alias("parts"), F.pmod(F.xxhash64("doc_id", "norm"), parts).cast("int").alias("part"))
+    texts = materialise(d, "same-digest")
+    first = texts.where("doc_id = bucket").groupBy("bucket").agg(F.min("norm").alias("first_norm"), F.first("parts").alias("parts"))
+    first = materialise(first.select("bucket", "first_norm", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "first-texts")
+    other = texts.join(first, ["bucket", "part"]).where("norm <> first_norm").select("bucket", "doc_id", "norm")
     own = other.groupBy("bucket", "norm").agg(F.min("doc_id").alias("own"))
-    return other.join(own, ["bucket", "norm"]).select("doc_id", "bucket", "own")
+    out = materialise(other.join(own, ["bucket", "norm"]).select("doc_id", "bucket", "own"), "differing")
+    discard(screen, texts, first)
+    return out
 
 
 def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -188,11 +204,13 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     rows = materialise(digest_rows(docs), "digests")
     shards = max(SHARDS, math.ceil(rows.count() / SHARD_KEYS))
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    buckets = materialise(assign([rows.where(turn == i) for i in range(batches)], shards), "digest-buckets")
+    snapshots = Snapshots(shards)
+    buckets = materialise(assign([rows.where(turn == i) for i in range(batches)], snapshots), "digest-buckets")
+    discard(*snapshots.buckets, *snapshots.filters)
     # A digest of one row has nothing to be checked against.
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(buckets.join(sizes, "digest").select("digest", "bucket"), "shared-digests")
-    odd = materialise(differing(docs, shared), "differing")
+    shared = materialise(buckets.join(sizes, "digest").select("digest", "bucket", "n"), "shared-digests")
+    odd = differing(docs, rows, shared)
     placed = rows.join(buckets, "digest")
     if odd.isEmpty():
         placed = placed.withColumn("own", F.col("bucket"))
@@ -201,10 +219,31 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     # The group's key is hashed anew, so that rows are aggregated where they are before a group's sums meet.
     placed = placed.select("doc_id", "digest", "n_points", F.xxhash64("own", "digest").alias("key"), "own")
     # Written, so that the join reads both sides from a shuffle and a large group can be split there.
-    best = materialise(placed.groupBy("key", "own").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return placed.join(best, ["key", "own"]).select(
-        "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("best.neg")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    longest = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg"))).alias("best")
+    best = materialise(placed.groupBy("key", F.coalesce("own", F.lit(NO_ID)).alias("own")).agg(longest, F.count(F.lit(1)).alias("group_size")), "groups")
+    placed = placed.withColumn("own", F.coalesce("own", F.lit(NO_ID)))
+    keep = -F.col("best.neg")
+    return placed.join(best, ["key", "own"]).select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: the one that exact_duplicates() keeps. Rows are told apart by doc_id
+    and text, so a text of its own stays whatever other texts its doc_id has. Of rows that are kept with the same doc_id the
+    one with the most code points stays, then the first by its text."""
+    gone = exact_duplicates(docs, batches).where("not kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return drop_repeated_ids(drop_rows(docs, gone, {"digest": text_digest(F.col("text"))}))
+
+
+def drop_repeated_ids(docs: DataFrame) -> DataFrame:
+    """Of rows with the same doc_id and equal texts one: that with the most code points, then the first by its text."""
+    ids = id_and_text(docs).select("doc_id", text_digest(F.col("text")).alias("digest"))
+    several = materialise(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("d")).where("n > d").select("doc_id"), "repeated-ids")
+    if several.isEmpty():
+        return docs
+    rest, again = split_rows(docs, several)
+    key = [F.col("doc_id"), text_digest(F.col("text"))]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))), "text"))
+    return rest.unionByName(again.withColumn("own place", first).where("`own place` = 1").select(docs.columns))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
