@@ -8,7 +8,7 @@ very many different fingerprints is dealt out: its rows are split into parts and
 no task holds more than two parts and no link is lost.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other. Repeated rows share a fingerprint
-and so a component. Columns other than doc_id and text are not read. An empty table gives an empty result.
+and so a component. Rows with a null doc_id link too; a component without any doc_id has a null component_id. Columns other than doc_id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,16 +50,16 @@ def fingerprint(text: bytes, words_in_shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp: the fingerprint as a signed long."""
+    """doc_id, fp (the fingerprint as a signed long) and text_hash (xxhash64 of the text) of every row."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             fp = np.array([fingerprint(t, words_in_shingle) for t in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def block_scheme(n: int, distance: int = DISTANCE) -> tuple[int, int]:
@@ -144,12 +144,24 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, part: int = PART) -> Da
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp (long) and component_id: the smallest doc_id that links reach."""
+    """For each row: doc_id, fp (long), text_hash, component (its smallest fp) and component_id: the smallest doc_id that links reach."""
     fps = materialise(fingerprints(docs, words_in_shingle), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
-    reach = components(near_links(nodes, distance))
-    of_fp = nodes.join(reach, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
+    reach = components(near_links(nodes.select("fp", F.col("fp").alias("node")), distance))
+    of_fp = nodes.join(reach, nodes["fp"] == reach["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    of_fp = materialise(of_fp, "fingerprint-components")
+    ids = of_fp.groupBy("component").agg(F.min("first").alias("component_id"))
+    return fps.join(of_fp.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "text_hash", "component", "component_id")
+
+
+def near_copies(docs: DataFrame, words_in_shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id and text_hash of the rows of every component but one: that with the smallest doc_id stays, of several texts with this
+    doc_id the one with the smallest hash. Rows that repeat with doc_id and text stay or go together."""
+    found = materialise(near_duplicates(docs, words_in_shingle, distance), "components")
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = found.where(head).groupBy(F.col("component").alias("head")).agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least < most")
+    again = found.where(head).join(heads, F.col("component") == F.col("head")).where("text_hash > least").select("doc_id", "text_hash")
+    return found.where(~head).select("doc_id", "text_hash").unionAll(again)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
