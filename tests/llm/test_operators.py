@@ -184,8 +184,8 @@ def test_reparameterised_questions(spark):
     item = "Anna has 5 apples and gives 2 kg to Tom, how many apples are left for Anna now?"
     b = spark.createDataFrame([(7, item), (8, "Short one"), (9, None), (10, ""), (7, item)], "item_id long, text string")
     docs = [(1, "Intro. Maria has 40 apples and gives 7 kg to Peter, how many apples are left for Maria now? tail"), (2, "A SHORT ONE"), (3, "nothing"), *[(i + 20, t) for i, t in EDGES]]
-    for shipped in (decontaminate.MAX_SHIPPED, 0):
-        got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(hostile(table(spark, docs)), b, max_shipped=shipped).collect()}
+    for shipped in (decontaminate.SHIPPED_BYTES, 0):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(hostile(table(spark, docs)), b, shipped_bytes=shipped).collect()}
         assert set(got) == {(1, 7), (2, 8)} and got[1, 7].n_changed > 0
     assert decontaminate.contaminated(table(spark, []), b).count() == 0
     assert decontaminate.contaminated(table(spark, docs), b.limit(0)).count() == 0
@@ -195,8 +195,8 @@ def test_copies_of_items_without_template_windows(spark):
     items = [(1, "What Is The Capital City Of New South Wales"), (2, "The Old Man And The Sea"), (3, "2 3 5 7 11 13 17 next"), (4, "Anna has five red apples")]
     b = spark.createDataFrame(items, "item_id long, text string")
     docs = [*[(i, f"some words {t} and more") for i, t in items], *[(10 + i, t.upper()) for i, t in items], (20, "What Was The Largest Old Town Of North East Kent"), (21, "1 2 4 8 16 32 64 next")]
-    for shipped in (decontaminate.MAX_SHIPPED, 0):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, docs), b, max_shipped=shipped).collect()}
+    for shipped in (decontaminate.SHIPPED_BYTES, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, docs), b, shipped_bytes=shipped).collect()}
         assert got == {(i, i) for i, _ in items} | {(10 + i, i) for i, _ in items}
 
 
