@@ -1,17 +1,18 @@
 """A corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Null and empty texts pass through: they are not
-toxic, count as equal and near copies of each other, hold no benchmark item and encode to no tokens. Rows that repeat with the same
-doc_id stay or go together. Extra columns of documents stay until the last stage.
+toxic, count as equal and near copies of each other, hold no benchmark item and encode to no tokens. Rows are told apart by doc_id and
+text: a text goes only for what it holds itself, whatever other texts its doc_id has, and a null doc_id is an id like any other. Extra
+columns of documents stay until the last stage. Texts do not move but for those that a screen of the rows to drop lets pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontaminate, exact, simhash, toxicity
-from textloom.llm.common import discard, materialise, read_table
+from textloom.llm.common import discard, drop_rows, materialise, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,20 +23,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space the longest, then the one with the smallest doc_id."""
-    gone = exact.exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return exact.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked fingerprints the document with the smallest doc_id."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return drop_rows(docs, simhash.near_copies(docs), {"text_hash": text_hash()})
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    gone = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return drop_rows(docs, decontaminate.found_in_texts(docs, read_table(spark, sf_dir, "benchmark")), {"text_hash": text_hash()})
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
