@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.helpers import EDGES, table
+from tests.llm.helpers import EDGES, hostile, table
 from textloom.llm import bpe, registry, simhash
 
 
@@ -62,6 +62,43 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == set(left)
 
 
+def tables(spark, path, rows, labels=(), items=()):
+    """A folder with the three tables; rows: (doc_id, text)."""
+    hostile(table(spark, rows)).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, tmp_path):
+    item = "why do birds sing so well in the early morning hours"
+    random.seed(3)
+    word = lambda: "".join(random.choice("aeiounrstl") for _ in range(random.randrange(2, 8)))
+    own = [" ".join(word() for _ in range(120)) for _ in range(5)]
+    rows = [(1, "abc"), (2, "abc"), (2, own[0]), (2, own[0]), (None, own[1]), (None, own[2]), (None, "abc"), (4, own[3]), (4, own[4] + " " + item), (5, own[0].replace(" ", "")), (6, item)]
+    path = tables(spark, tmp_path, rows, items=[(1, item)])
+    docs = spark.read.parquet(path + "/documents.parquet")
+    left = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()), key=repr)
+    copies = corpus_pipeline.drop_exact_copies(spark, docs, path)
+    assert copies.columns == docs.columns
+    assert left(copies) == sorted([(1, "abc"), (2, own[0]), (0, own[1]), (0, own[2]), (4, own[3]), (4, own[4] + " " + item), (6, item)], key=repr)
+    assert left(corpus_pipeline.drop_contaminated(spark, docs, path)) == sorted([(i or 0, t) for i, t in rows if item not in t], key=repr)
+    near = left(corpus_pipeline.drop_near_copies(spark, docs, path))
+    assert (2, "abc") not in near and (0, "abc") not in near and (1, "abc") in near and near.count((2, own[0])) == 2 and (4, own[3]) in near
+    assert corpus_pipeline.run(spark, path).count() == 5  # abc, own 0 to 3
+
+
+def test_empty_tables(spark, tmp_path):
+    path = tables(spark, tmp_path, [])
+    docs = spark.read.parquet(path + "/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        assert out.count() == 0, name
+    assert corpus_pipeline.run(spark, path).columns == out.columns
+    for name, q in registry.queries().items():
+        assert q(spark, path).count() == 0, name
+
+
 def test_every_operator_is_registered():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
