@@ -69,17 +69,36 @@ def test_secrets_stand_anywhere(spark):
 
 
 def test_contexts_include_tokens_and_text_starts(spark):
-    rows = [(1, "A1 b2\tc3"), (2, f"some {'W' * 100} x1"), (3, "  id 77 is (5)"), (4, "one Two three 4 5")]
-    got = {(r.doc_id, r.token): (r.s, r.pattern) for r in pii.candidates(table(spark, rows)).collect()}
+    rows = [(1, "A1 b2\tc3"), (2, f"some {'W' * 100} x1"), (3, "  id 77 is (5)"), (4, "one Two three 4 5"), (5, "call +1 (017) 555-7713 or 4111 1111 1111 1111 now please.")]
+    got = {(r.doc_id, r.token): (r.s, r.left, r.right) for r in pii.candidates(table(spark, rows)).collect()}
     assert got == {
-        (1, "A1"): (0, ""), (1, "b2"): (3, "a1"), (1, "c3"): (6, "a1 b2"), (2, "x1"): (106, f"some {'w' * 100}"), (3, "77"): (5, "id"), (3, "5"): (12, "77 is"),
-        (4, "4"): (14, "two three"), (4, "5"): (16, "three 4"),
+        (1, "A1"): (0, "", "b2 c3"), (1, "b2"): (3, "a1", "c3"), (1, "c3"): (6, "a1 b2", ""), (2, "x1"): (106, f"some {'w' * 100}", ""), (3, "77"): (5, "id", "is (5)"),
+        (3, "5"): (12, "77 is", ""), (4, "4"): (14, "two three", "5"), (4, "5"): (16, "three 4", ""), (5, "+1 (017) 555-7713"): (5, "call", "or 4111"), (5, "4111 1111 1111 1111"): (26, "555-7713 or", "now please."),
     }
     rows = [(i, f"{hashlib.md5(str(i).encode()).hexdigest()} is") for i in range(20)] + [(50, "UNSEEN-77 is"), (51, "not UNSEEN-78")]
     got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.extra] for r in pii.scan(table(spark, rows)).collect()}
     assert got[50] == [("secret", 0, 9)] and got[51] == []
 
 
+def test_instances_induce_patterns(spark):
+    """Seeds give one pattern, what it finds gives another one, which finds what no seed stands near."""
+    code = lambda i: f"Z{i:03}-QX-{i * 7919 % 10000:04}"
+    rows = [(i, f"some words api token {hashlib.md5(str(i).encode()).hexdigest()} end") for i in range(20)]
+    rows += [(100 + i, f"my api token {code(i)} here") for i in range(10)]
+    rows += [(200 + i, f"we keep secret code {code(i)} as well") for i in range(10)]
+    rows += [(300, f"the secret code {code(77)} too"), (301, f"some other words {code(78)} there"), (302, "the secret code 12"), (None, f"a secret code {code(79)}"), (None, "no"), (303, f"{code(80)} as well")]
+    got = {(r.doc_id, r.n_base): [(x.kind, x.s, x.e) for x in r.extra] for r in pii.scan(table(spark, rows)).withColumn("n_base", F.size("email")).collect() if r.doc_id}
+    for i, t in rows:
+        if i and i >= 100:
+            m = re.search(r"Z\d{3}-QX-\d{4}", t)
+            assert got[i, 0] == ([("secret", m.start(), m.end())] if i not in (301, 302) else []), t
+    none = [r for r in pii.scan(table(spark, rows)).collect() if r.doc_id is None]
+    assert sorted(len(r.extra) for r in none) == [0, 1]
+    edges = pii.materialise(pii.candidates(table(spark, rows)).withColumn("kind", pii._seed(F.col("token"))).select("token", "kind", F.explode(pii._patterns()).alias("pattern")).groupBy("token", "pattern", "kind").agg(F.count("*").alias("n")), "edges")
+    patterns, rounds = pii.bootstrapped(edges)
+    assert rounds == 3 and {"< api token", "< secret code", "> as well"} <= {r.pattern for r in patterns.collect()}
+
+
 # 2
 
 

@@ -1,17 +1,19 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
 Seeds are the matches of fixed expressions (e-mail and IP addresses, payment cards, telephone numbers) and of long hexadecimal
-secrets, all found in whole texts. The words to the left of a seed, identifiers among them, are a lexical pattern of its kind; the start
-of a text is a pattern too. All identifier-like tokens of the corpus and their
-patterns form a graph, aggregated to (instance, pattern, count) edges; a few rounds score patterns by the instances that they
-extract and instances by the patterns that extract them. Patterns that are confident enough and have enough different seeds
-then mark tokens that no expression knows.
+secrets, all found in whole texts. The two words to the left of an identifier-like token, and the two to its right, identifiers among
+them, are its lexical patterns; the start and the end of a text are patterns too. All these tokens and their patterns form a graph,
+aggregated to (token, pattern, count) edges, and a loop goes round it: known instances of a kind give patterns their score (the share of
+the different tokens that a pattern extracts that are known, smoothed); patterns that are confident and have enough known instances
+give other tokens theirs (1 less the product of their patterns' doubts); tokens that reach it, and that stand in such patterns
+often enough, become known instances, which induce patterns in the next round. Scores only grow with what is known, so the loop ends when a
+round finds no new instance. Confident patterns then mark, wherever they stand, tokens that no expression knows.
 
 Every expression is anchored where the last match ended (\\G), takes its text in one pass and repeats possessively, so a text of
 any length costs time in proportion and no deep recursion.
 
 Defined results: a null text is empty and has no spans. Ties between kinds for a token go to the kind with the higher score, then
-the first by name. Repeated rows have the same spans. An empty table gives an empty result; other columns are not read.
+the first by name. Repeated rows have the same spans; rows that share a doc_id, or have none, have those of their own texts. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import id_and_text, materialise, read_table
+from textloom.llm.common import discard, id_and_text, materialise, read_table
 
 # Base expressions, as the contract has them but with possessive repeats, which match the same. A leftmost e-mail address starts
 # where a run of its characters starts or where the last match ended, and a leftmost address of numbers where digits start.
@@ -31,20 +33,31 @@ PHONE = r"\+[0-9](?:[\x20().-]*+[0-9])++"
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: A seed kind of the method: hexadecimal secrets of 32 characters and more.
 SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"
+EXPRESSIONS = BASE | {"secret": SECRET}
 #: An identifier-like token has a digit or an at sign; quotes and brackets around it and punctuation behind it are not part of it.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: What patterns extract: telephone numbers and cards in several words, else tokens.
+INSTANCE = rf"\+[0-9](?:[\x20().-]*+[0-9])++|(?<![0-9])[0-9]{{4}}(?:[\x20-][0-9]{{4}}){{3}}(?![0-9])|{TOKEN}"
 LEAD = "^[\"'(\\[{<]+"
 TRAIL = "[\"')\\]}>.,;:!?*#$%&|]+$"
 #: Shortest token that a pattern may mark, in code points.
 LEAST_LENGTH = 6
-#: Rounds of scoring, the least score of a pattern, its least number of different seeds and the smoothing of its score.
-ROUNDS, CONFIDENT, LEAST_SEEDS, SMOOTH = 3, 0.6, 5, 2.0
+#: The least score of a pattern and of an instance, a pattern's least number of different known instances and the smoothing of its score.
+CONFIDENT, LEAST_SEEDS, SMOOTH = 0.6, 5, 2.0
+#: Share of a token's places that confident patterns must have, on one side, for it to become an instance.
+LEAST_SHARE = 0.25
+
+
+def _once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """Columns that are made once a row: what reads them, if only element by element, does not make them again."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
 
 
 def _places(gaps: Column, hits: Column, width: int = 512) -> Column:
-    """Where each hit starts when gaps and hits alternate: running sums, in slices so that many hits cost time in proportion."""
+    """Where each hit starts when gaps (their lengths) and hits alternate: running sums, in slices so that many hits cost time in
+    proportion. Both must be columns that stand, not what makes them."""
     none = F.expr("cast(array() as array<int>)")
-    sizes = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    sizes = lambda i: F.zip_with(F.slice(gaps, i * width + 1, F.lit(width)), F.slice(hits, i * width + 1, F.lit(width)), lambda g, h: F.struct(g.alias("g"), F.length(h).alias("h")))
 
     def within(part):
         return F.aggregate(
@@ -53,7 +66,7 @@ def _places(gaps: Column, hits: Column, width: int = 512) -> Column:
             lambda acc, x: F.struct((acc["at"] + x["g"] + x["h"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["g"])).alias("out")),
         )
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / width).cast("int")), lambda i: within(F.slice(sizes, i * width + 1, F.lit(width))))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(hits) / width).cast("int")), lambda i: within(sizes(i)))
     summed = F.aggregate(
         parts,
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("out")),
@@ -62,12 +75,12 @@ def _places(gaps: Column, hits: Column, width: int = 512) -> Column:
     return F.flatten(summed["out"])
 
 
-def _found(text: Column, expression: str, needs: Column) -> Column:
-    """Leftmost matches that do not overlap: an array of (s, e, m), in code points; empty unless ``needs`` holds."""
+def _matches(text: Column, expression: str, needs: Column) -> tuple[Column, Column]:
+    """Leftmost matches that do not overlap, and the lengths of the gaps before them, in code points; empty unless ``needs`` holds."""
     both = F.lit(rf"\G([\s\S]*?)({expression})")
-    gaps, hits = F.regexp_extract_all(text, both, F.lit(1)), F.regexp_extract_all(text, both, F.lit(2))
-    spans = F.zip_with(_places(gaps, hits), hits, lambda s, h: F.struct(s.alias("s"), (s + F.length(h)).alias("e"), h.alias("m")))
-    return F.when(needs, spans).otherwise(F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)"))
+    hits = F.when(needs, F.regexp_extract_all(text, both, F.lit(2))).otherwise(F.expr("cast(array() as array<string>)"))
+    gaps = F.when(needs, F.transform(F.regexp_extract_all(text, both, F.lit(1)), F.length)).otherwise(F.expr("cast(array() as array<int>)"))
+    return hits, gaps
 
 
 def _part_ok(part: Column) -> Column:
@@ -102,16 +115,24 @@ def _kept(kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and for each base kind and for secret an array of (s, e, m) under its name."""
+    """doc_id, row (a hash of the text) and for each base kind and for secret an array of (s, e, m) under its name."""
     d = id_and_text(docs)
     text = F.col("text")
     # One look at each text decides whether any expression has to run.
     any_digit = F.regexp_like(text, F.lit("[0-9]"))
     d = d.select("doc_id", "text", any_digit.alias("digit"))
     needs = {"email": text.contains("@"), "ip": F.col("digit"), "card": F.col("digit"), "phone": F.col("digit") & text.contains("+")}
-    secret = _found(text, SECRET, F.regexp_like(text, F.lit("[0-9a-f]{32}")))
-    raw = d.select("doc_id", *[_found(text, BASE[k], needs[k]).alias(k) for k in BASE], secret.alias("secret"))
-    return raw.select("doc_id", *[_kept(k).alias(k) for k in BASE], "secret")
+    needs["secret"] = F.regexp_like(text, F.lit("[0-9a-f]{32}"))
+    d = d.select("doc_id", F.xxhash64("text").alias("row"), "text", *[v.alias(f"needs_{k}") for k, v in needs.items()])
+    # Hits first: most texts have none of a kind, and need no gaps then.
+    hits = {k: _matches(text, e, F.col(f"needs_{k}"))[0] for k, e in EXPRESSIONS.items()}
+    d = _once(d, ["doc_id", "row", "text"], **hits)
+    gaps = {f"gaps_{k}": _matches(text, e, F.size(k) > 0)[1] for k, e in EXPRESSIONS.items()}
+    d = _once(d, ["doc_id", "row", *EXPRESSIONS], **gaps)
+    d = _once(d, ["doc_id", "row", *EXPRESSIONS], **{f"at_{k}": _places(F.col(f"gaps_{k}"), F.col(k)) for k in EXPRESSIONS})
+    spans = lambda k: F.zip_with(f"at_{k}", k, lambda s, h: F.struct(s.alias("s"), (s + F.length(h)).alias("e"), h.alias("m")))
+    raw = _once(d, ["doc_id", "row"], **{k: spans(k) for k in EXPRESSIONS})
+    return raw.select("doc_id", "row", *[_kept(k).alias(k) for k in BASE], "secret")
 
 
 def _last_words(text: Column) -> Column:
@@ -120,28 +141,41 @@ def _last_words(text: Column) -> Column:
     return F.lower(F.regexp_replace(found, r"[\x20\x09-\x0D]+", " "))
 
 
+def _first_words(text: Column) -> Column:
+    """The first two words of a text, or as many as it has, in lower case."""
+    found = F.regexp_extract(text, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?)", 1)
+    return F.lower(F.regexp_replace(found, r"[\x20\x09-\x0D]+", " "))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """Identifier-like tokens with their contexts: doc_id, s, e, token, pattern (the two words to the left, lower case; fewer where the
-    text has no more, and none at its start)."""
+    """Identifier-like tokens with their contexts: doc_id, row (of the text), s, e, token, left and right (the two words on that side,
+    lower case; fewer where the text has no more, and none at its start or end)."""
     d = id_and_text(docs)
     text = F.col("text")
-    both = F.lit(rf"\G([\s\S]*?)({TOKEN})")
+    both = F.lit(rf"\G([\s\S]*?)({INSTANCE})")
     needs = F.regexp_like(text, F.lit("[0-9@]"))
-    d = d.where(needs).select("doc_id", F.regexp_extract_all(text, both, F.lit(1)).alias("gaps"), F.regexp_extract_all(text, both, F.lit(2)).alias("hits"))
-    ends = _places(F.col("gaps"), F.col("hits"))
-    d = d.select("doc_id", "gaps", "hits", F.transform("gaps", _last_words).alias("near"))
-
-    def before(values, i, back):
-        return F.coalesce(F.get(F.col(values), i - back), F.lit(""))
-
-    # A gap of fewer than two words goes on in the tokens and the gap before it.
-    wider = lambda w, i: F.when(w.contains(" "), w).otherwise(_last_words(F.concat(before("hits", i, 2), before("gaps", i, 1), before("hits", i, 1), before("gaps", i, 0))))
-    d = d.select("doc_id", "gaps", "hits", F.transform("near", wider).alias("words"))
-    d = d.select("doc_id", F.explode(F.arrays_zip(ends.alias("at"), "hits", F.col("words").alias("pattern"))).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.hits").alias("hit"), F.col("x.pattern").alias("pattern"))
+    d = _once(d.where(needs), ["doc_id", "text"], gaps=F.regexp_extract_all(text, both, F.lit(1)), hits=F.regexp_extract_all(text, both, F.lit(2))).where(F.size("hits") > 0)
+    d = _once(d, ["doc_id", "text", "gaps", "hits"], row=F.xxhash64("text"), sizes=F.transform("gaps", F.length))
+    d = _once(d, ["doc_id", "text", "gaps", "hits", "row"], ends=_places(F.col("sizes"), F.col("hits")))
+    rest = F.substring(F.col("text"), F.element_at("ends", -1) + F.length(F.element_at("hits", -1)) + 1, F.length("text"))
+    d = _once(d, ["doc_id", "row", "hits", "ends"], gaps=F.concat("gaps", F.array(rest)))
+    d = _once(d, ["doc_id", "row", "hits", "ends", "gaps"], near=F.transform("gaps", _last_words), next=F.transform("gaps", _first_words))
+
+    def at(values, i):
+        return F.coalesce(F.get(F.col(values), i).cast("string"), F.lit(""))
+
+    # A gap of fewer than two words goes on in the tokens and the gap on its other side.
+    left = lambda i: F.when(at("near", i).contains(" "), at("near", i)).otherwise(_last_words(F.concat(at("hits", i - 2), at("near_", i - 1), at("hits", i - 1), at("gaps", i))))
+    right = lambda i: F.when(at("next", i + 1).contains(" "), at("next", i + 1)).otherwise(_first_words(F.concat(at("gaps", i + 1), at("hits", i + 1), at("next_", i + 2), at("hits", i + 2))))
+    # Of a gap beyond a token its words on that side are enough, with the blanks around them.
+    edge = lambda g, w: F.when(w.contains(" "), F.concat(F.lit(" "), w, F.lit(" "))).otherwise(g)
+    d = _once(d, d.columns, near_=F.zip_with("gaps", "near", edge), next_=F.zip_with("gaps", "next", edge))
+    d = d.select("doc_id", "row", F.transform("hits", lambda hit, i: F.struct(at("ends", i).cast("int").alias("at"), hit.alias("hit"), left(i).alias("left"), right(i).alias("right"))).alias("x"))
+    d = d.select("doc_id", "row", F.explode("x").alias("x")).select("doc_id", "row", "x.*")
     lead = F.length("hit") - F.length(F.regexp_replace("hit", LEAD, ""))
     bare = F.regexp_replace(F.regexp_replace("hit", LEAD, ""), TRAIL, "")
-    d = d.select("doc_id", (F.col("at") + lead).alias("s"), bare.alias("token"), "pattern")
-    return d.where(F.length("token") >= 1).select("doc_id", "s", (F.col("s") + F.length("token")).alias("e"), "token", "pattern")
+    d = d.select("doc_id", "row", (F.col("at") + lead).alias("s"), bare.alias("token"), "left", "right")
+    return d.where(F.length("token") >= 1).select("doc_id", "row", "s", (F.col("s") + F.length("token")).alias("e"), "token", "left", "right")
 
 
 def _seed(token: Column) -> Column:
@@ -152,33 +186,57 @@ def _seed(token: Column) -> Column:
     return out
 
 
-def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, pattern, score and seeds of each pattern that a seed induces.
-
-    edges: token, pattern, seed (kind or null), n. An instance's score of a kind is 1 for seeds and else the mean of its
-    patterns' scores, weighted by the edges; a pattern's is the smoothed mean of its instances' scores."""
-    weights = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    seeds = edges.where("seed is not null").groupBy(F.col("seed").alias("kind"), "pattern").agg(F.sum("n").cast("double").alias("mass"), F.count(F.lit(1)).alias("seeds"))
-    scores = seeds.join(weights, "pattern").select("kind", "pattern", "seeds", "mass", "total", (F.col("mass") / (F.col("total") + SMOOTH)).alias("score"))
-    for _ in range(rounds - 1):
-        open_edges = edges.where("seed is null").select("token", "pattern", "n")
-        of = open_edges.join(scores.select("kind", "pattern", "score"), "pattern")
-        token_total = open_edges.groupBy("token").agg(F.sum("n").alias("all"))
-        instance = of.groupBy("kind", "token").agg(F.sum(F.col("n") * F.col("score")).alias("won")).join(token_total, "token").select("kind", "token", (F.col("won") / F.col("all")).alias("instance"))
-        gained = of.join(instance, ["kind", "token"]).groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("instance")).alias("gain"))
-        scores = scores.join(gained, ["kind", "pattern"], "left").select(
-            "kind", "pattern", "seeds", "mass", "total", ((F.col("mass") + F.coalesce("gain", F.lit(0.0))) / (F.col("total") + SMOOTH)).alias("score")
-        )
-    return scores.select("kind", "pattern", "seeds", "score")
-
-
-def discovered(docs: DataFrame, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """Tokens that confident patterns mark and no expression matches: doc_id, kind, s, e."""
-    found = materialise(candidates(docs).withColumn("seed", _seed(F.col("token"))), "pii-candidates")
-    edges = materialise(found.groupBy("token", "pattern", "seed").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
-    good = pattern_scores(edges, rounds).where((F.col("score") >= confident) & (F.col("seeds") >= least_seeds))
-    good = materialise(good.groupBy("pattern").agg(F.max_by("kind", F.struct("score", F.expr("-ascii(kind)"))).alias("kind")), "pii-patterns")
-    return found.where((F.col("seed").isNull()) & (F.length("token") >= LEAST_LENGTH)).join(good, "pattern").select("doc_id", "kind", "s", "e")
+def _patterns() -> Column:
+    return F.array(F.concat(F.lit("< "), F.col("left")), F.concat(F.lit("> "), F.col("right")))
+
+
+def scored_patterns(edges: DataFrame, confident: float, least_seeds: int) -> DataFrame:
+    """pattern, kind, score of each pattern that is confident and has enough different known instances; the best kind, then the first.
+
+    edges: token, pattern, n, kind (of known instances, else null)."""
+    of_kind = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("tokens"))
+    every = of_kind.groupBy("pattern").agg(F.sum("tokens").alias("total"), F.max(F.when(F.col("kind").isNotNull(), F.struct("tokens", F.expr("-ascii(kind)"), "kind"))).alias("best"))
+    good = every.select("pattern", F.col("best.kind").alias("kind"), F.col("best.tokens").alias("seeds"), (F.col("best.tokens") / (F.col("total") + SMOOTH)).alias("score"))
+    return good.where((F.col("score") >= confident) & (F.col("seeds") >= least_seeds)).select("pattern", "kind", "score")
+
+
+def bootstrapped(edges: DataFrame, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS) -> tuple[DataFrame, int]:
+    """Patterns (pattern, kind, score) when no round finds new instances any more, and the number of rounds."""
+    rounds = 0
+    while True:
+        rounds += 1
+        good = materialise(scored_patterns(edges, confident, least_seeds), "pii-patterns")
+        unknown = edges.where(F.col("kind").isNull() & (F.length("token") >= LEAST_LENGTH)).select("token", "pattern", "n")
+        met = unknown.join(good.select("pattern", F.col("kind").alias("found"), "score"), "pattern")
+        side = F.substring("pattern", 1, 1).alias("side")
+        total = unknown.join(met.select("token").distinct(), "token", "left_semi").groupBy("token", side).agg(F.sum("n").alias("all"))
+        won = met.groupBy("token", side, "found").agg(F.sum("n").alias("own"), F.sum(F.log(1 - F.col("score"))).alias("doubt"))
+        share = F.max(F.col("own") / F.col("all")).alias("share")
+        score = won.join(total, ["token", "side"]).groupBy("token", "found").agg((1 - F.exp(F.sum("doubt"))).alias("score"), share).where(F.col("share") >= LEAST_SHARE)
+        new = score.groupBy("token").agg(F.max(F.struct("score", F.expr("-ascii(found)"), "found")).alias("best")).where(F.col("best.score") >= confident)
+        new = materialise(new.select("token", F.col("best.found").alias("found")), "pii-instances")
+        if new.isEmpty():
+            discard(new)
+            return good, rounds
+        grown = edges.join(new, "token", "left").select("token", "pattern", "n", F.coalesce("kind", "found").alias("kind"))
+        grown = materialise(grown, "pii-edges")
+        discard(edges, good, new)
+        edges = grown
+
+
+def discovered(docs: DataFrame, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS, hidden: float = 0.0) -> DataFrame:
+    """Tokens that confident patterns mark and no expression matches: doc_id, row, kind, s, e.
+
+    hidden: for a measurement, the share of tokens (by a hash) whose expressions are not looked at, so that patterns alone find them."""
+    seed = _seed(F.col("token"))
+    if hidden:
+        seed = F.when(F.pmod(F.xxhash64("token"), F.lit(1000)) >= int(1000 * hidden), seed)
+    found = materialise(candidates(docs).withColumn("kind", seed), "pii-candidates")
+    edges = found.select("token", "kind", F.explode(_patterns()).alias("pattern")).groupBy("token", "pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
+    good, _ = bootstrapped(materialise(edges.select("token", "pattern", "n", "kind"), "pii-edges"), confident, least_seeds)
+    marked = found.where(F.col("kind").isNull() & (F.length("token") >= LEAST_LENGTH)).select("doc_id", "row", "s", "e", F.explode(_patterns()).alias("pattern"))
+    best = marked.join(good, "pattern").groupBy("doc_id", "row", "s", "e").agg(F.max(F.struct("score", F.expr("-ascii(kind)"), "kind")).alias("best"))
+    return best.select("doc_id", "row", F.col("best.kind").alias("kind"), "s", "e")
 
 
 def scan(docs: DataFrame, **settings) -> DataFrame:
@@ -187,9 +245,9 @@ def scan(docs: DataFrame, **settings) -> DataFrame:
 
     A span of the method that touches a base span of the same document is left out, and a marked one that touches a secret."""
     base = base_spans(docs)
-    extra = discovered(docs, **settings).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("kind", "s", "e"))).alias("extra"))
+    extra = discovered(docs, **settings).groupBy(F.col("doc_id").alias("id"), "row").agg(F.array_sort(F.collect_set(F.struct("kind", "s", "e"))).alias("extra"))
     none = F.expr("cast(array() as array<struct<kind: string, s: int, e: int>>)")
-    joined = base.join(extra, "doc_id", "left").withColumn("extra", F.coalesce("extra", none))
+    joined = base.join(extra, F.col("doc_id").eqNullSafe(F.col("id")) & (base["row"] == extra["row"]), "left").drop("id", "row").withColumn("extra", F.coalesce("extra", none))
     spans = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     joined = joined.withColumn("taken", F.concat(*[spans(k) for k in BASE])).withColumn("sealed", F.concat("taken", spans("secret")))
     clear = lambda found, of: F.filter(found, lambda x: ~F.exists(of, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
@@ -220,4 +278,5 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.concat(*[said(k) for k in BASE]), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(F.array_sort(every), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",").alias("spans"),
         F.size("extra").cast("long").alias("n_extra"),
+        F.size(every).cast("long").alias("n_spans"),
     )
