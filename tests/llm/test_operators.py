@@ -223,21 +223,48 @@ def test_copies_of_items_without_template_windows(spark):
 
 
 def test_language_model(spark):
-    rows = [*EDGES, *[(i, "a b c d"[: 1 + i % 7]) for i in range(100, 160)]]
-    got = {r.doc_id: r for r in language_model.score_texts(hostile(table(spark, rows)), steps=3).collect()}
+    random.seed(15)
+    rows = [*EDGES, *[(i, "a b c d"[: 1 + i % 7]) for i in range(100, 160)], (None, "a b"), (None, None), *[(i, "".join(random.choice("aBc \t\n\x0b\x0c\ré\x85\xa0\0") for _ in range(60))) for i in range(200, 260)]]
+    got = collections.defaultdict(list)
+    for r in language_model.score_texts(hostile(table(spark, rows))).collect():
+        got[r.doc_id].append((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7)))
+        assert r.score < 0
     tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [" "]) for i, t in rows]
-    c = collections.Counter(w for i, t in tokens if zlib.crc32(str(i).encode()) % 10 for w in t)
+    c = collections.Counter(w for i, t in tokens if i is not None and zlib.crc32(str(i).encode()) % 10 for w in t)
     n, v = sum(c.values()), len(c)
+    want = collections.defaultdict(list)
     for i, t in tokens:
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
+        want[i].append((len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 7)))
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
     assert language_model.score_texts(table(spark, [])).count() == 0
 
 
+def test_model_learns_what_follows(spark):
+    """Words that follow each other in a fixed order are told from the same words in another order."""
+    random.seed(16)
+    names = ["".join(random.choice("bcdfgh") for _ in range(5)) for _ in range(30)]
+    rows = [(i, " ".join(names[(a + j) % 30] for j in range(40))) for i in range(600) for a in [random.randrange(30)]]
+    mixed = [(1000 + i, " ".join(random.sample(t.split(), 40))) for i, t in rows[:50]]
+    got = {r.doc_id: r.score for r in language_model.score_texts(table(spark, rows + mixed)).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    bits = lambda ids: -sum(got[i] for i in ids) * math.log2(10) / len(ids) / 41
+    assert bits(held) < 0.7 * bits([i for i, _ in mixed])
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = [b"ab cd", b"cd  ab", b"", b"x" * 5000 + b" ab"]
+    raw, start, end, _ = language_model.located(texts)
+    words = [raw[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+    for which in (0, 1):
+        h = language_model.word_hashes(raw, start, end, which)
+        assert len({(w, x) for w, x in zip(words, h.tolist(), strict=True)}) == len(set(words)) == len(set(h.tolist()))
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    w = {k: rng.normal(size=v.shape) for k, v in language_model._zero_weights().items()}
-    assert np.allclose(np.exp(language_model.log_classes(w, np.arange(0, 8192, 97))).sum(1), 1)
+    w = rng.normal(size=(language_model.ROWS, language_model.CLASSES))
+    rows = np.stack([rng.integers(0, language_model.ROWS, 100) for _ in range(3)])
+    assert np.allclose(np.exp(language_model.log_classes(rng.normal(size=language_model.CLASSES), w, rows)).sum(1), 1)
 
 
 # 7
