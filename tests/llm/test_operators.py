@@ -132,17 +132,53 @@ def test_repeated_passages(spark):
 
 def test_interval_tree():
     # suffixes by LCP: 3 and 4 share 7, all of 2 to 5 share 6, 8 and 9 share 9
+    first, last = np.array([3, 2]), np.array([4, 5])
     lcp = np.array([0, 0, 0, 6, 7, 6, 0, 0, 0, 9])
     assert suffixes.intervals(lcp, 6) == [(7, 3, 4), (6, 2, 5), (9, 8, 9)]
-    assert suffixes.left_diverse([(7, 3, 4), (6, 2, 5)], np.array([1, 1, 5, 5, 5, 6, 0, 0, 0, 0])).tolist() == [False, True]
+    assert suffixes.diverse(first, last, np.array([1, 1, 5, 5, 5, 6, 0, 0, 0, 0])).tolist() == [False, True]
+    assert suffixes.diverse(first, last, np.array([1, 1, 5, -1, -1, 5, 0, 0, 0, 0])).tolist() == [True, True]
+
+
+def plain_repeats(rows, k=50):
+    """Runs of k-byte strings that several documents have, linked where all occurrences go on alike: {(start, end) by document}."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    where = collections.defaultdict(list)
+    for n, (_, t) in enumerate(texts):
+        for p in range(len(t) - k + 1):
+            where[t[p : p + k]].append((n, p))
+    shared = {x for x, at in where.items() if len({texts[n][0] for n, _ in at}) > 1}
+    unlike = lambda found: None in found or len(found) > 1
+    left = {x: unlike({texts[n][1][p - 1] if p else None for n, p in where[x]}) for x in shared}
+    right = {x: unlike({texts[n][1][p + k] if p + k < len(texts[n][1]) else None for n, p in where[x]}) for x in shared}
+    out = []
+    for i, t in texts:
+        p = 0
+        while p <= len(t) - k:
+            if t[p : p + k] not in shared:
+                p += 1
+                continue
+            q = p
+            while q < len(t) - k and not right[t[q : q + k]] and t[q + 1 : q + k + 1] in shared and not left[t[q + 1 : q + k + 1]]:
+                q += 1
+            owner = min(texts[n][0] for n, _ in where[t[p : p + k]])
+            out.append((hashlib.sha256(t[p : q + k]).hexdigest(), q + k - p, i, p, owner))
+            p = q + 1
+    return sorted(out)
 
 
-def test_maximal_repeats_stand_where_they_say(spark):
-    p = "a passage that stands in several documents, long enough to count"
-    rows = [(1, "x " + p + " y"), (2, "z " + p), (3, p + "!")]
-    got = suffixes.maximal_repeats(table(spark, rows)).collect()
-    assert {(r.doc_id, r.start) for r in got if r.start <= 2} == {(1, 1), (2, 1), (1, 2), (2, 2), (3, 0)}
-    assert all(hashlib.sha256(dict(rows)[r.doc_id].encode()[r.start : r.start + r.length]).hexdigest() == r.repeat for r in got)
+def test_maximal_repeats_are_whole(spark):
+    random.seed(20)
+    word = lambda n: "".join(random.choice("abcdefgh é") for _ in range(n))
+    parts = [word(n) for n in (60, 130, 500, 3000)] + ["z" * 140, "xy" * 80]
+    rows = [(i, "".join(word(random.randrange(8)) + random.choice(parts)[random.randrange(30) :] for _ in range(random.randrange(1, 4)))) for i in range(60)]
+    rows += [(100, parts[2]), (101, parts[2]), (102, "q" + parts[3] + "q"), (103, None), (103, "r" + parts[3]), (104, parts[0][:49])]
+    want = plain_repeats(rows)
+    assert max(x[1] for x in want) >= 2900
+    for hot in (0, suffixes.HOT_CHUNKS):
+        got = suffixes.maximal_repeats(hostile(table(spark, rows)), hot).collect()
+        assert sorted((r["repeat"], r["length"], r.doc_id, r.start, r.owner) for r in got) == want
+    none = suffixes.repeated_passages(table(spark, [(None, parts[1]), (5, parts[1] + "x"), (None, parts[1])])).collect()
+    assert sorted(((r.doc_id, r.n_removed, r.n_repeats) for r in none), key=repr) == [(5, 0, 1), (None, len(parts[1].encode()), 1), (None, len(parts[1].encode()), 1)]
 
 
 # 3 and 6
