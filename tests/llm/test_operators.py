@@ -260,18 +260,19 @@ def test_copies_of_items_without_template_windows(spark):
 
 def test_language_model(spark):
     random.seed(15)
-    rows = [*EDGES, *[(i, "a b c d"[: 1 + i % 7]) for i in range(100, 160)], (None, "a b"), (None, None), *[(i, "".join(random.choice("aBc \t\n\x0b\x0c\ré\x85\xa0\0") for _ in range(60))) for i in range(200, 260)]]
-    got = collections.defaultdict(list)
-    for r in language_model.score_texts(hostile(table(spark, rows))).collect():
-        got[r.doc_id].append((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7)))
-        assert r.score < 0
+    rows = [*EDGES, *[(i, "a b c d"[: 1 + i % 7]) for i in range(100, 460)], (None, "a b"), (None, None), *[(i, "".join(random.choice("aBc \t\n\x0b\x0c\ré\x85\xa0\0") for _ in range(60))) for i in range(500, 560)]]
     tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [" "]) for i, t in rows]
     c = collections.Counter(w for i, t in tokens if i is not None and zlib.crc32(str(i).encode()) % 10 for w in t)
     n, v = sum(c.values()), len(c)
     want = collections.defaultdict(list)
     for i, t in tokens:
         want[i].append((len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 7)))
-    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
+    for together in (1, 4096):  # words of chunks are summed in two steps, or in one
+        got = collections.defaultdict(list)
+        for r in language_model.score_texts(hostile(table(spark, rows)), together=together).collect():
+            got[r.doc_id].append((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7)))
+            assert r.score < 0
+        assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
     assert language_model.score_texts(table(spark, [])).count() == 0
 
 
