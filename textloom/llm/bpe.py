@@ -296,19 +296,52 @@ def encode(df: DataFrame, vocabulary: str | None = None, text: str = "text") ->
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
-    """The given columns and ``decoded`` (binary). A null list of ids decodes to nothing."""
+class PieceTexts(dict):
+    """From the ids of a piece to its bytes."""
+
+    def __init__(self, tokens: list[bytes]):
+        super().__init__()
+        self.token = tokens.__getitem__
+
+    def __missing__(self, ids: bytes) -> bytes:
+        out = b"".join(map(self.token, np.frombuffer(ids, "<u4").tolist()))
+        if len(ids) <= 4 * LONG_PIECE:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[ids] = out
+        return out
+
+
+@lru_cache(2)
+def _texts(content: bytes) -> PieceTexts:
+    return PieceTexts(_tokens(content))
+
+
+def piece_ids(ids: bytes, piece_tokens: bytes) -> list[bytes]:
+    """The ids of each piece, cut at the offsets that encode() retains."""
+    at = [0, *(np.cumsum(np.frombuffer(piece_tokens, "<u4"), dtype=np.int64) * 4).tolist()]
+    return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", piece_tokens: str | None = "piece_tokens") -> DataFrame:
+    """The given columns and ``decoded`` (binary). Where ``piece_tokens`` is a column, ids are decoded piece by piece at its offsets, else
+    one by one. A null list of ids decodes to nothing."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
     df = df.select([c for c in df.columns if c != "decoded"])
     at = df.columns.index(ids)
+    offsets = df.columns.index(piece_tokens) if piece_tokens in df.columns else None
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
-        token = _tokens(shared.value).__getitem__
+        token, text = _tokens(shared.value).__getitem__, _texts(shared.value).__getitem__
         for batch in _slices(batches):
-            out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
+            own = [x or b"" for x in batch.column(at).to_pylist()]
+            if offsets is None:
+                out = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in own]
+            else:
+                out = [b"".join(map(text, piece_ids(x, n or b""))) for x, n in zip(own, batch.column(offsets).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, schema)
@@ -316,7 +349,7 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> Da
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Encode every text of documents and decode the ids; digests of both."""
-    encoded = encode(id_and_text(read_table(spark, sf_dir, "documents"))).drop("text", "piece_tokens")
+    encoded = encode(id_and_text(read_table(spark, sf_dir, "documents"))).drop("text")
     return decode(encoded).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
