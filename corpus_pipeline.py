@@ -42,7 +42,7 @@ def text_hash() -> Column:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (unsigned 32-bit little-endian) and whether they decode to the text."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))).drop("piece_tokens")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")))
     return bpe.decode(encoded).select(
         "doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip")
     )
