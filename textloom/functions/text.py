@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -37,6 +38,8 @@ CHAIN_NOISE_AR = (
 # Openings of a narration's body, in the order in which they are tried.
 BODY_MARKERS = ["قال رسول الله", "قال النبي", "أن النبي", "أن رسول الله", "عن النبي قال", "عن رسول الله قال"]
 
+# Letters that normalisation folds, and into what.
+_AR_FOLDED, _AR_FOLDS = "أإآىؤئ", "ااايءء"
 _AR_MARKS = "[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED\u0640]"
 
 
@@ -53,13 +56,13 @@ def _squeeze(c: Column) -> Column:
 
 def normalize_ar(c: Column | str) -> Column:
     """Without vowel marks and lengthening; alef, yeh and hamza forms folded; all but Arabic letters and digits as single spaces."""
-    bare = F.translate(F.regexp_replace(_text(c), _AR_MARKS, ""), "أإآىؤئ", "اااي" + "ءء")
+    bare = F.translate(F.regexp_replace(_text(c), _AR_MARKS, ""), _AR_FOLDED, _AR_FOLDS)
     return _squeeze(F.regexp_replace(bare, "[^\u0600-\u06FF0-9]", " "))
 
 
 def normalize_ar_mobile(c: Column | str) -> Column:
     """The mobile client's form: teh marbuta folds to heh, punctuation stays."""
-    return _squeeze(F.translate(F.regexp_replace(_text(c), "[\u064B-\u065F\u0670]", ""), "آأإةى", "ااا" + "هي"))
+    return _squeeze(F.translate(F.regexp_replace(_text(c), "[\u064B-\u065F\u0670]", ""), "آأإةى", "اااهي"))
 
 
 def normalize_ar_query(c: Column | str) -> Column:
@@ -95,14 +98,28 @@ def _words(normal: Column) -> Column:
     return F.when(normal == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(normal, " "))
 
 
+def _kept_words(normal: Column, stop: list[str]) -> Column:
+    """The same from a normalised text, whose words single spaces part: what is dropped goes in one look at the text."""
+    gone = "|".join(["[0-9\u0660-\u0669\u06F0-\u06F9]+", "[^ ]", *(re.escape(w) for w in sorted(set(stop)) if w)])
+    return _words(F.rtrim(F.regexp_replace(normal, f"(?<![^ ])(?:{gone})(?: |$)", "")))
+
+
 def tokenize_en(c: Column | str, stopwords: list[str] | None = None) -> Column:
     """Tokens in order, repeats included."""
-    stop = STOPWORDS_EN if stopwords is None else stopwords
-    return _kept(_words(normalize_en(c)), F.array(*[F.lit(w) for w in stop]) if stop else None)
+    return _kept_words(normalize_en(c), STOPWORDS_EN if stopwords is None else stopwords)
 
 
 def tokenize_ar(c: Column | str, stopwords: Column | None = None) -> Column:
-    return _kept(_words(normalize_ar(c)), stopwords_ar() if stopwords is None else stopwords)
+    """Tokens in order, repeats included; stopwords: normalised, as an array, instead of the usual ones."""
+    if stopwords is None:
+        return _kept_words(normalize_ar(c), [normalized_ar(w) for w in STOPWORDS_AR])
+    return _kept(_words(normalize_ar(c)), stopwords)
+
+
+def normalized_ar(word: str) -> str:
+    """What normalize_ar() makes of a constant."""
+    bare = re.sub(_AR_MARKS, "", word).translate(str.maketrans(_AR_FOLDED, _AR_FOLDS))
+    return " ".join(re.sub("[^\u0600-\u06FF0-9]", " ", bare).split())
 
 
 def stopwords_ar(extra: list[str] | None = None) -> Column:
