@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.ids import has_arabic
@@ -22,8 +24,11 @@ def profile(df: DataFrame, key: str, text: str, short: int = 5) -> DataFrame:
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows whose key stands more than once."""
-    return df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("n > 1")
+    """All rows whose key (null equals null) stands more than once, with how often. Counts are partial sums, and meet the rows in a join that
+    can be split."""
+    n = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(n, same).drop(*[f"_{k}" for k in keys])
 
 
 def group_sizes(df: DataFrame, group: str, expected: DataFrame) -> DataFrame:
@@ -49,10 +54,11 @@ def coverage_ratio(expected: DataFrame, found: DataFrame, key: str) -> DataFrame
 
 
 def equal_texts(editions: DataFrame, key: str, edition: str, text: str) -> DataFrame:
-    """Keys for which two editions have the same text: key, first and second edition."""
-    a, b = editions.alias("a"), editions.alias("b")
-    same = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{text}") == F.col(f"b.{text}")) & (F.col(f"a.{edition}") < F.col(f"b.{edition}")))
-    return same.where(F.trim(f"a.{text}") != "").select(F.col(f"a.{key}").alias(key), F.col(f"a.{edition}").alias("first"), F.col(f"b.{edition}").alias("second"))
+    """Of each key the editions whose texts are the same: key, first (the smallest of these editions), edition and n (how many). Membership
+    stands for the pairs, whose number would be the square of it. Blank texts are left out."""
+    d = editions.where(F.trim(text) != "")
+    first = d.groupBy(F.col(key).alias("_key"), F.col(text).alias("_text")).agg(F.min(edition).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return d.join(first, (F.col(key) == F.col("_key")) & (F.col(text) == F.col("_text"))).select(key, "first", edition, "n")
 
 
 def spot_checks(texts: DataFrame, expected: DataFrame, key: str, text: str) -> DataFrame:

@@ -26,19 +26,22 @@ def global_means(spark, sf_dir):
 
 
 @query("topic_sizes", """
-WITH b AS (SELECT c_mktsegment AS category, c_nationkey AS topic, c_custkey AS id FROM customer)
+WITH b AS (SELECT l_returnflag || l_linestatus AS category, l_linenumber AS topic, l_partkey AS id FROM lineitem)
 SELECT category, count(DISTINCT topic) AS topics, count(*) AS refs, count(DISTINCT id) AS ids FROM b GROUP BY 1""")
 def topic_sizes(spark, sf_dir):
-    b = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("category"), F.col("c_nationkey").alias("topic")).agg(F.collect_set("c_custkey").alias("ids"))
-    return b.groupBy("category").agg(F.count(F.lit(1)).alias("topics"), F.sum(F.size("ids")).alias("refs"), F.sum(F.size("ids")).alias("ids"))
+    """References of topics with repeats, and different ids; no list is gathered."""
+    b = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("category"), F.col("l_linenumber").alias("topic"), F.col("l_partkey").alias("id"))
+    refs = b.groupBy("category", "topic").agg(F.count(F.lit(1)).alias("n")).groupBy("category").agg(F.count(F.lit(1)).alias("topics"), F.sum("n").alias("refs"))
+    return refs.join(b.select("category", "id").distinct().groupBy("category").agg(F.count(F.lit(1)).alias("ids")), "category")
 
 
-@query("keyword_lookup", f"""
-WITH d AS ({tokens_sql("documents", "doc_id")}), t AS (SELECT id, unnest(list_distinct(tokens)) AS term FROM d) SELECT 0 AS qid, id FROM t WHERE term = 'license'""")
+@query("keyword_lookup", """
+WITH q AS (SELECT * FROM (VALUES (0, 'src0'), (1, 'src0 src1'), (2, 'none')) t(qid, query)) SELECT qid, doc_id AS id FROM q JOIN documents ON regexp_replace(source, '[^0-9]', '', 'g') = trim(regexp_replace(regexp_replace(query, '[^0-9]', ' ', 'g'), ' +', ' ', 'g'))""")
 def keyword_lookup(spark, sf_dir):
-    """The second query has two words and so finds nothing; Latin letters go with normalisation, hence a token index in digits and Arabic."""
-    q = spark.createDataFrame([(0, "123"), (1, "123 456")], "qid int, query string")
-    t = index.terms(documents(spark, sf_dir)).where("term = 'license'").withColumn("term", F.lit("123"))
+    """A whole query is one key of the index, so the second, of two words, finds nothing. Normalisation leaves the digits of Latin words,
+    and so the index has those of sources."""
+    q = spark.createDataFrame([(0, "src0"), (1, "src0 src1"), (2, "none")], "qid int, query string")
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.normalize_ar("source").alias("term"))
     return search.by_keyword(q, t)
 
 
@@ -50,11 +53,11 @@ def array_sets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(F.array_intersect(a, b)), "|").alias("inter"), F.size(F.array_union(a, b)).alias("n_union"), F.array_join(F.sort_array(F.array_except(a, b)), "|").alias("diff"))
 
 
-@query("hybrid_rejoin", "SELECT e.vec_id AS id, coalesce(d.lang, 'none') AS lang, coalesce(d.source, 'payload' || e.label) AS source FROM embeddings e LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 = 0) d ON d.doc_id = e.vec_id")
+@query("hybrid_rejoin", "SELECT e.vec_id AS id, coalesce(d.lang, 'none') AS lang, coalesce(d.source, 'payload' || e.label) AS source FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id")
 def hybrid_rejoin(spark, sf_dir):
     """A hit takes its record where there is one, else its own payload."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("payload"), "label").alias("payload"))
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), "lang", "source")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     return relations.lookup(e, d, "id", {"lang": F.lit("none"), "source": F.col("payload")}).select("id", "lang", "source")
 
 

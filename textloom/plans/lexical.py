@@ -20,10 +20,10 @@ def corpora(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("norm_en_tokens", f"""
 WITH d AS ({tokens_sql("documents", "doc_id")})
-SELECT id, CAST(len(tokens) AS INTEGER) AS n_tokens, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_terms, array_to_string(tokens[1:20], '|') AS head FROM d""")
+SELECT id, CAST(len(tokens) AS INTEGER) AS n_tokens, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_terms, md5(array_to_string(tokens, '|')) AS said FROM d""")
 def norm_en_tokens(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return d.select("id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_terms"), F.array_join(F.slice("tokens", 1, 20), "|").alias("head"))
+    return d.select("id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_terms"), F.md5(F.array_join("tokens", "|")).alias("said"))
 
 
 @query("token_df_idf", f"WITH {CORPORA_SQL} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
@@ -86,8 +86,7 @@ def shared_terms_display(spark, sf_dir):
     return overlap.shared_terms(top, a, c, idf).select("anchor", "cand", F.array_join("shared", "|").alias("shared"))
 
 
-#: Parts that stand for roots, orders for the texts that have them; a part in more than this many orders is left out.
-BASKET_DF = 30
+#: Parts that stand for roots, orders for the texts that have them.
 C3_RAW = f"(0.55 * {mm('jaccard', 0.06, 0.70)} + 0.30 * {mm('recall', 0.12, 0.95)} + 0.15 * {mm('k', 2.0, 7.0)})"
 
 
@@ -107,15 +106,6 @@ def overlap_self_ge2(spark, sf_dir):
     return overlap.lexical_same_corpus(overlap.weighted_overlap(b, b, idf, same=True)).select("anchor", "cand", "k", "score")
 
 
-@query("overlap_self_df_cut", f"""
-WITH b0 AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS term FROM lineitem), b AS (SELECT * FROM b0 WHERE term IN (SELECT term FROM b0 GROUP BY term HAVING count(*) <= {BASKET_DF}))
-SELECT x.id AS anchor, y.id AS cand, count(*) AS k FROM b x JOIN b y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2 HAVING count(*) >= 2""")
-def overlap_self_df_cut(spark, sf_dir):
-    b = overlap.cut_frequent(baskets(spark, sf_dir), BASKET_DF)
-    idf = index.idf_table(b, 1)
-    return overlap.weighted_overlap(b, b, idf, same=True).where("k >= 2").select("anchor", "cand", "k")
-
-
 TFIDF_SQL = f"""
 a_docs AS ({tokens_sql("benchmark", "item_id")}), c_docs AS ({tokens_sql("documents", "doc_id")}),
 d AS (SELECT 'a' || id AS id, tokens FROM a_docs UNION ALL SELECT 'c' || id, tokens FROM c_docs), n AS (SELECT count(*) AS n FROM d),
@@ -131,9 +121,9 @@ def tfidf_rows(spark, sf_dir):
     return tfidf.tfidf(docs, docs.count())
 
 
-@query("tfidf_weights", f"WITH {TFIDF_SQL} SELECT id, CAST(count(*) AS BIGINT) AS n, round(sum(w), 4) AS total FROM w GROUP BY id")
+@query("tfidf_weights", f"WITH {TFIDF_SQL} SELECT id, CAST(count(*) AS BIGINT) AS n, round(sum(w), 4) AS total, round(max(w), 6) AS most, arg_max(term, (round(w, 9), term)) AS first FROM w GROUP BY id")
 def tfidf_weights(spark, sf_dir):
-    return tfidf_rows(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"))
+    return tfidf_rows(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"), F.round(F.max("w"), 6).alias("most"), F.max_by("term", F.struct(F.round("w", 9), "term")).alias("first"))
 
 
 @query("tfidf_pairs", f"""

@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, as a small file is, dealt out to all of them before heavy work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def token_docs(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """id, tokens of a table's text."""
-    return table(spark, sf_dir, name).select(F.col(key).alias("id"), tokenize_en("text").alias("tokens"))
+    return spread(table(spark, sf_dir, name).select(key, "text")).select(F.col(key).alias("id"), tokenize_en("text").alias("tokens"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
