@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.sources import readers, sinks
+from textloom.sources import http, readers, sinks
 
 
 def test_csv_encodings_and_headers(spark, tmp_path):
@@ -46,3 +46,55 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).select("payload.k", "en").count() == 2500
     pairs = spark.createDataFrame([("1:1", "semantic", "2:1", 90, "a|b", 1), ("1:1", "semantic", "2:2", 80, "a", 2), ("1:1", "lexical", "3:1", 70, "", 1)], "anchor_id string, pair_type string, cand_id string, score int, shared string, rank int")
     assert {k: [x["id"] for x in v] for k, v in sinks.nested_pairs(pairs).first()["pairs"].items()} == {"semantic": ["2:1", "2:2"], "lexical": ["3:1"]}
+
+
+def test_encoding_is_judged_by_the_whole_file(spark, tmp_path):
+    p = tmp_path / "late.csv"
+    p.write_bytes(b"id,text\n" + b"1,plain words\n" * 120_000 + "2,“é”\n".encode("cp1256"))
+    assert readers.decoding_of(spark, str(p)) == "cp1256"
+    assert readers.read_csv(spark, str(p)).where("id = '2'").first()["text"] == "“é”"
+    p.write_bytes(b"\xef\xbb\xbfid,text\n1,\xc3\xa9\n")
+    assert readers.decoding_of(spark, str(p)) == "utf-8-sig"
+
+
+def test_defaults_lists_and_blocks(spark, tmp_path):
+    df = spark.createDataFrame([("1", "x")], "id string, text string")
+    assert readers.resolve(df, {"id": ["id"], "book": ["book"]}, defaults={"book": "Unknown"}).first() == ("1", "Unknown")
+    path = str(tmp_path / "words")
+    assert {r.word for r in readers.bootstrap_list(spark, path, ["b", "a", "b"]).collect()} == {"a", "b"}
+    assert {r.word for r in readers.bootstrap_list(spark, path, ["c"]).collect()} == {"a", "b"}
+    rows = spark.createDataFrame([("x <a>old</a> y",), ("no marks",), ("<a>open",), (None,)], "t string")
+    assert [r[0] for r in rows.select(readers.replace_block("t", "<a>", "</a>", F.lit("new"))).collect()] == ["x <a>new</a> y", "no marks", "<a>open", None]
+
+
+def test_http_retries_pages_and_falls_back():
+    asked = []
+
+    def opener(url):
+        asked.append(url)
+        if "bad" in url or len(asked) < 3:
+            raise OSError("down")
+        page = int(url.split("page=")[-1])
+        return json.dumps({"rows": [page], "pagination": {"next_page": page + 1 if page < 3 else None}}).encode()
+
+    assert [p["rows"] for p in http.pages("http://x/rows", opener, 2, delay=0.0)] == [[1], [2], [3]]
+    assert len(asked) == 5 and asked[-1] == "http://x/rows?per_page=2&page=3"
+    assert http.fetch_json("http://bad", opener, delay=0.0, fallback="http://x?page=3")["rows"] == [3]
+    with pytest.raises(OSError, match="http://bad"):
+        http.fetch_json("http://bad", opener, delay=0.0)
+
+
+def test_strict_numbers_name_what_is_none(spark):
+    from textloom.operators.relations import numeric_strict
+
+    df = spark.createDataFrame([("1",), (None,)], "n string")
+    assert [r.n for r in numeric_strict(df, ["n"]).collect()] == [1, None]
+    with pytest.raises(Exception, match="n is no number: x"):
+        numeric_strict(spark.createDataFrame([("x",)], "n string"), ["n"]).collect()
+
+
+def test_worksheet(spark):
+    import pandas as pd
+
+    got = readers.worksheet(spark, pd.DataFrame({"id": ["2:13", None, "total"], "w": ["a", "b", "c"]})).collect()
+    assert [(r.group, r.number, r.w) for r in got] == [(2, 13, "a")]

@@ -61,3 +61,25 @@ def shared_terms(pairs: DataFrame, anchors: DataFrame, candidates: DataFrame, we
     both = a.join(candidates.select(F.col("id").alias("cand"), "term"), ["cand", "term"]).join(weights.select("term", "idf"), "term", "left")
     order = F.struct((-F.round(F.coalesce("idf", F.lit(1.0)), 9)).alias("w"), F.col("term").alias("term"))
     return both.groupBy("anchor", "cand").agg(F.transform(F.slice(F.sort_array(F.collect_list(order)), 1, n), lambda x: x["term"]).alias("shared"))
+
+
+def first_pairs(pairs: DataFrame, n: int = 20) -> DataFrame:
+    """The first n pairs of each anchor by score; equal ones stay in the order of the list: shared roots, then the id."""
+    return top_k(pairs, ["anchor"], [F.desc("score"), F.desc("k"), F.asc("cand")], n)
+
+
+def shared_by_kind(pairs: DataFrame, kinds: list[tuple[DataFrame, DataFrame, DataFrame, DataFrame]], n: int = 8) -> DataFrame:
+    """anchor, cand, shared: up to n shared terms of each pair, those of the first kind before those of the next, in a kind the rarest first,
+    equal ones by name. Generic terms are left out unless a pair shares no others. kinds: terms of anchors and of candidates (id, term),
+    weights (term, idf) and generic terms."""
+    rows = None
+    for place, (left, right, weights, generic) in enumerate(kinds):
+        a = pairs.select("anchor", "cand").join(left.select(F.col("id").alias("anchor"), "term"), "anchor")
+        both = a.join(right.select(F.col("id").alias("cand"), "term"), ["cand", "term"]).join(weights.select("term", "idf"), "term", "left")
+        both = both.join(generic.select("term", F.lit(1).alias("is_generic")), "term", "left")
+        w = (-F.round(F.coalesce("idf", F.lit(1.0)), 9)).alias("w")
+        both = both.select("anchor", "cand", F.struct(F.lit(place).alias("place"), w, "term").alias("x"), F.col("is_generic").isNotNull().alias("generic"))
+        rows = both if rows is None else rows.unionAll(both)
+    said = rows.groupBy("anchor", "cand").agg(F.collect_list(F.when(~F.col("generic"), F.col("x"))).alias("own"), F.collect_list("x").alias("every"))
+    best = F.slice(F.array_sort(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("every"))), 1, n)
+    return said.select("anchor", "cand", F.transform(best, lambda x: x["term"]).alias("shared"))

@@ -110,6 +110,15 @@ def one_of_each(df: DataFrame, group: str, key: str) -> DataFrame:
     return df.groupBy(group).agg(F.min_by(key, F.md5(F.col(key).cast("string"))).alias(key))
 
 
+def numeric_strict(df: DataFrame, columns: list[str], kind: str = "bigint") -> DataFrame:
+    """Columns as numbers; a value that is none is an error that names it. Null stays null."""
+    def number(c):
+        n = F.col(c).try_cast(kind)
+        return F.when(F.col(c).isNotNull() & n.isNull(), F.raise_error(F.concat(F.lit(f"{c} is no number: "), F.col(c).cast("string")))).otherwise(n)
+
+    return df.withColumns({c: number(c) for c in columns})
+
+
 def numeric_coerced(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns as integers; rows in which one is no number go."""
     return df.withColumns({c: F.expr(f"try_cast(`{c}` as bigint)") for c in columns}).dropna(subset=columns)

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from textloom.plans import basics, lexical, literals, lookups, vectors  # noqa: F401
+    from textloom.plans import basics, formats, lexical, literals, lookups, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

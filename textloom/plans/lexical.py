@@ -106,6 +106,40 @@ def overlap_self_ge2(spark, sf_dir):
     return overlap.lexical_same_corpus(overlap.weighted_overlap(b, b, idf, same=True)).select("anchor", "cand", "k", "score")
 
 
+@query("client_root_pairs", f"""
+WITH b AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS term FROM lineitem), idf AS (SELECT term, 1 + ln((1.0 + (SELECT count(DISTINCT id) FROM b)) / (1.0 + count(*))) AS idf FROM b GROUP BY term),
+w AS (SELECT id, term, idf AS w FROM b JOIN idf USING (term)), s0 AS (SELECT id, sum(w) AS base FROM w GROUP BY id),
+p AS (SELECT x.id AS anchor, y.id AS cand, count(*) AS k, sum(x.w) AS inter FROM w x JOIN w y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2 HAVING count(*) >= 2),
+s AS (SELECT anchor, cand, k, inter / u.base AS recall, inter / (u.base + v.base - inter) AS jaccard FROM p JOIN s0 u ON u.id = anchor JOIN s0 v ON v.id = cand),
+c AS (SELECT anchor, cand, k, {cal(C3_RAW, 0.10, 0.92, 1.08)} AS score FROM s)
+SELECT anchor, cand, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, k DESC, cand) AS rank FROM c) WHERE rank <= 20""")
+def client_root_pairs(spark, sf_dir):
+    b = baskets(spark, sf_dir)
+    idf = index.idf_table(b, b.select("id").distinct().count())
+    return overlap.first_pairs(overlap.lexical_same_corpus(overlap.weighted_overlap(b, b, idf, same=True))).select("anchor", "cand", "score", "rank")
+
+
+ROOT = "substring({t}, 1, 3)"
+
+
+@query("shared_roots_first", f"""
+WITH {C4_SQL}, ar AS (SELECT DISTINCT id, {ROOT.format(t="term")} AS term FROM a), cr AS (SELECT DISTINCT id, {ROOT.format(t="term")} AS term FROM c),
+ri AS (SELECT term, count(*) AS df, 1 + ln((1.0 + (SELECT n FROM n)) / (1.0 + count(*))) AS idf FROM (SELECT * FROM ar UNION ALL SELECT * FROM cr) GROUP BY term),
+x AS (SELECT anchor, cand, 0 AS place, ar.term, round(ri.idf, 9) AS w, ri.df / CAST((SELECT n FROM n) AS DOUBLE) >= 0.05 AS generic FROM top JOIN ar ON ar.id = anchor JOIN cr ON cr.id = cand AND cr.term = ar.term JOIN ri ON ri.term = ar.term
+  UNION ALL SELECT anchor, cand, 1, a.term, round(idf.idf, 9), idf.df / CAST((SELECT n FROM n) AS DOUBLE) >= 0.05 FROM top JOIN a ON a.id = anchor JOIN c ON c.id = cand AND c.term = a.term JOIN idf ON idf.term = a.term),
+y AS (SELECT *, bool_or(NOT generic) OVER (PARTITION BY anchor, cand) AS telling FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY anchor, cand ORDER BY place, w DESC, term) AS i FROM y WHERE NOT (telling AND generic))
+SELECT anchor, cand, string_agg(term, '|' ORDER BY i) AS shared FROM z WHERE i <= 8 GROUP BY 1, 2""")
+def shared_roots_first(spark, sf_dir):
+    """What a pair shares: first letters, which stand for roots, then tokens; generic ones only where there is nothing else."""
+    a, c, idf = corpora(spark, sf_dir)
+    n = benchmark(spark, sf_dir).count() + documents(spark, sf_dir).count()
+    top = overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf))
+    root = lambda df: df.select("id", F.substring("term", 1, 3).alias("term")).distinct()
+    ri = index.idf_table(root(a).unionAll(root(c)), n)
+    generic = lambda t: index.generic_terms(t, n, 0.05).select("term")
+    return overlap.shared_by_kind(top, [(root(a), root(c), ri, generic(ri)), (a, c, idf, generic(idf))]).select("anchor", "cand", F.array_join("shared", "|").alias("shared"))
+
+
 TFIDF_SQL = f"""
 a_docs AS ({tokens_sql("benchmark", "item_id")}), c_docs AS ({tokens_sql("documents", "doc_id")}),
 d AS (SELECT 'a' || id AS id, tokens FROM a_docs UNION ALL SELECT 'c' || id, tokens FROM c_docs), n AS (SELECT count(*) AS n FROM d),

@@ -316,9 +316,10 @@ def previews_and_padding(spark, sf_dir):
 # Sinks
 
 
-@query("manifest", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM benchmark) AS benchmark, 'v3' AS version")
+@query("manifest", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT round(avg(n_chars), 6) FROM documents) AS mean_chars, (SELECT count(*) FROM benchmark) AS benchmark, 'v3' AS version, 200 AS neighbours")
 def manifest(spark, sf_dir):
-    return sinks.manifest({"documents": table(spark, sf_dir, "documents"), "benchmark": table(spark, sf_dir, "benchmark")}, version="v3")
+    means = {"mean_chars": ("documents", F.col("n_chars"))}
+    return sinks.manifest({"documents": table(spark, sf_dir, "documents"), "benchmark": table(spark, sf_dir, "benchmark")}, means, version="v3", neighbours=200)
 
 
 @query("shard_roundtrip", "SELECT doc_id, lang, source FROM documents")

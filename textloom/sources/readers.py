@@ -36,39 +36,62 @@ def header_key(name: str) -> str:
     return re.sub(r"[\s_-]+", " ", (name or "").strip().lower())
 
 
-def resolve(df: DataFrame, aliases: dict[str, list[str]], optional: tuple[str, ...] = ()) -> DataFrame:
-    """Columns by any of their names; an optional one that is missing is left out."""
-    have = {header_key(c): c for c in df.columns}
+def resolve(df: DataFrame, aliases: dict[str, list[str]], optional: tuple[str, ...] = (), defaults: dict[str, str] | None = None) -> DataFrame:
+    """Columns by any of their names; one that is missing is filled with its default, or left out if it is optional."""
+    have, defaults = {header_key(c): c for c in df.columns}, defaults or {}
     out = []
     for name, names in aliases.items():
         hit = next((have[k] for k in map(header_key, names) if k in have), None)
-        if hit is None and name not in optional:
-            raise ValueError(f"no column for {name}: expected one of {names}, found {df.columns}")
         if hit is not None:
             out.append(F.col(f"`{hit}`").alias(name))
+        elif name in defaults:
+            out.append(F.lit(defaults[name]).alias(name))
+        elif name not in optional:
+            raise ValueError(f"no column for {name}: expected one of {names}, found {df.columns}")
     return df.select(*out)
 
 
+def _decodes(batches):
+    """Of each whole file whether it starts with a byte order mark, and how many of ENCODINGS come before the first that decodes it."""
+    import codecs
+
+    import pyarrow as pa
+
+    for b in batches:
+        rows = []
+        for content in b.column(0).to_pylist():
+            for i, e in enumerate(ENCODINGS):
+                decoder = codecs.getincrementaldecoder(e)()
+                try:
+                    for low in range(0, len(content), 1 << 20):
+                        decoder.decode(content[low : low + (1 << 20)])
+                    decoder.decode(b"", final=True)
+                except UnicodeDecodeError:
+                    continue
+                break
+            rows.append((content.startswith(codecs.BOM_UTF8), i))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int32())], ["marked", "place"])
+
+
 def decoding_of(spark: SparkSession, path: str) -> str:
-    """The first encoding that decodes the start of the file: valid UTF-8, with or without a byte order mark, or single bytes."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20).alias("head")).first()
-    head = bytes(row["head"]) if row else b""
-    if head.startswith(b"\xef\xbb\xbf"):
+    """The first encoding that decodes all files, each as a whole: UTF-8, with or without a byte order mark, or single bytes."""
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_decodes, "marked boolean, place int")
+    marked, place = found.agg(F.bool_or("marked"), F.max("place")).first()
+    if place == 0 and marked:
         return "utf-8-sig"
-    for e in ENCODINGS:
-        try:
-            head.decode(e)
-        except UnicodeDecodeError as x:
-            if e.startswith("utf") and x.start >= len(head) - 3 and len(head) == 1 << 20:  # a character over the cut
-                return e
-            continue
-        return e
-    return ENCODINGS[-1]
+    return ENCODINGS[place or 0]
+
+
+def all_charsets(spark: SparkSession) -> None:
+    """Lets the session's CSV reader and writer have every character set of the JVM, of which windows-1256 is one."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: str | None = None) -> DataFrame:
     """A CSV with a header, all columns as text unless a schema is given. Quoted values may hold line ends."""
     e = encoding or decoding_of(spark, path)
+    if e == "cp1256":
+        all_charsets(spark)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", {"utf-8-sig": "utf-8", "cp1256": "windows-1256", "latin1": "iso-8859-1"}.get(e, e))
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
@@ -136,3 +159,20 @@ def links(pages: DataFrame, key: str, html: str, pattern: str = r"/surah-([^/]+)
     """key, slug, number of links, each once, in the order of their first place."""
     found = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("slug"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("number"))
     return pages.select(key, F.posexplode(F.array_distinct(found)).alias("pos", "l")).select(key, "pos", "l.slug", F.col("l.number").try_cast("int").alias("number"))
+
+
+def bootstrap_list(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """word: the list at a path. Where nothing is there, the default words are written first, different ones in order."""
+    if not exists(spark, path):
+        lines = spark.createDataFrame([(i, w) for i, w in enumerate(sorted(set(words))) if w], "place int, value string")
+        lines.coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    return read_line_list(spark, path)
+
+
+def replace_block(text, start: str, end: str, body):
+    """A text whose part between two markers is another one; the markers stay, and a text without them is as it was."""
+    text, body = (F.col(x) if isinstance(x, str) else x for x in (text, body))
+    low = F.locate(start, text)
+    inner = low + len(start)
+    high = F.when(low > 0, F.instr(F.substring(text, inner, F.length(text)), end))
+    return F.when(high > 0, F.concat(F.substring(text, F.lit(1), inner - 1), body, F.substring(text, inner + high - 1, F.length(text)))).otherwise(text)

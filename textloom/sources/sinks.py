@@ -55,11 +55,12 @@ def shard_by_range(df: DataFrame, serial: str, path: str, size: int = 1000, mode
     return range_map(df, serial, size)
 
 
-def manifest(counts: dict[str, DataFrame], **facts: str) -> DataFrame:
-    """One row: the number of rows of each table, and facts as they are."""
+def manifest(counts: dict[str, DataFrame], means: dict[str, tuple[str, Column]] | None = None, **facts) -> DataFrame:
+    """One row: the number of rows of each table, means (name: the table and what is averaged over it), and facts as they are."""
     out = None
     for name, df in counts.items():
-        one = df.agg(F.count(F.lit(1)).alias(name))
+        own = [F.round(F.avg(c), 6).alias(n) for n, (t, c) in (means or {}).items() if t == name]
+        one = df.agg(F.count(F.lit(1)).alias(name), *own)
         out = one if out is None else out.crossJoin(one)  # single rows
     return out.withColumns({k: F.lit(v) for k, v in facts.items()})
 
@@ -81,6 +82,25 @@ def vector_table(records: DataFrame, vectors: dict[str, str], payload: list[str]
     records.select("point_id", *[F.col(c).alias(name) for name, c in vectors.items()], F.struct(*payload).alias("payload")).write.mode("overwrite").parquet(path)
 
 
+def upsert_batches(records: DataFrame, send, size: int = 256) -> DataFrame:
+    """Hands records to a vector store in batches: send(rows) gets up to ``size`` of them as dictionaries and may be called again with the
+    same ones after a failure, so it must replace what has the same point_id. Returns batch sizes."""
+    names = records.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            done = []
+            for low in range(0, b.num_rows, size):
+                rows = b.slice(low, size).to_pylist()
+                send([{k: r[k] for k in names} for r in rows])
+                done.append(len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["n"])
+
+    return records.mapInArrow(run, "n int")
+
+
 def nested_pairs(pairs: DataFrame) -> DataFrame:
     """anchor_id and a map from pair type to its list of (id, score, shared), best first. pairs: anchor_id, pair_type, cand_id, score, shared, rank."""
     item = F.struct("rank", F.struct(F.col("cand_id").alias("id"), "score", "shared").alias("p"))
