@@ -296,53 +296,38 @@ def encode(df: DataFrame, vocabulary: str | None = None, text: str = "text") ->
     return df.mapInArrow(run, schema)
 
 
-class PieceTexts(dict):
-    """From the ids of a piece to its bytes."""
-
-    def __init__(self, tokens: list[bytes]):
-        super().__init__()
-        self.token = tokens.__getitem__
-
-    def __missing__(self, ids: bytes) -> bytes:
-        out = b"".join(map(self.token, np.frombuffer(ids, "<u4").tolist()))
-        if len(ids) <= 4 * LONG_PIECE:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[ids] = out
-        return out
-
-
 @lru_cache(2)
-def _texts(content: bytes) -> PieceTexts:
-    return PieceTexts(_tokens(content))
+def _lengths(content: bytes) -> np.ndarray:
+    return np.array([len(t) for t in _tokens(content)], np.int64)
 
 
-def piece_ids(ids: bytes, piece_tokens: bytes) -> list[bytes]:
-    """The ids of each piece, cut at the offsets that encode() retains."""
-    at = [0, *(np.cumsum(np.frombuffer(piece_tokens, "<u4"), dtype=np.int64) * 4).tolist()]
-    return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+def piece_ends(ids: np.ndarray, piece_tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where each piece ends in the decoded bytes, from the offsets that encode() retains. lengths: bytes of each token."""
+    ends = np.cumsum(lengths[ids])
+    return ends[np.cumsum(piece_tokens, dtype=np.int64) - 1].astype("<u4")
 
 
 def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", piece_tokens: str | None = "piece_tokens") -> DataFrame:
-    """The given columns and ``decoded`` (binary). Where ``piece_tokens`` is a column, ids are decoded piece by piece at its offsets, else
-    one by one. A null list of ids decodes to nothing."""
+    """The given columns and ``decoded`` (binary); where ``piece_tokens`` is a column, also ``piece_ends`` (binary, unsigned 32-bit
+    little-endian): where in the decoded bytes each piece ends. A null list of ids decodes to nothing."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
-    df = df.select([c for c in df.columns if c != "decoded"])
+    df = df.select([c for c in df.columns if c not in ("decoded", "piece_ends")])
     at = df.columns.index(ids)
     offsets = df.columns.index(piece_tokens) if piece_tokens in df.columns else None
-    schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())])
+    names = ["decoded"] if offsets is None else ["decoded", "piece_ends"]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.BinaryType()) for n in names)])
 
     def run(batches):
         import pyarrow as pa
 
-        token, text = _tokens(shared.value).__getitem__, _texts(shared.value).__getitem__
+        token, lengths = _tokens(shared.value).__getitem__, _lengths(shared.value)
         for batch in _slices(batches):
-            own = [x or b"" for x in batch.column(at).to_pylist()]
-            if offsets is None:
-                out = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in own]
-            else:
-                out = [b"".join(map(text, piece_ids(x, n or b""))) for x, n in zip(own, batch.column(offsets).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            own = [np.frombuffer(x or b"", "<u4") for x in batch.column(at).to_pylist()]
+            made = [pa.array([b"".join(map(token, x.tolist())) for x in own], pa.binary())]
+            if offsets is not None:
+                counts = [np.frombuffer(x or b"", "<u4") for x in batch.column(offsets).to_pylist()]
+                made.append(pa.array([piece_ends(x, n, lengths).tobytes() for x, n in zip(own, counts, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -355,4 +340,5 @@ def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.expr("cast(octet_length(piece_ends) div 4 as long)").alias("n_pieces"),
     )
