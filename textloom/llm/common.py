@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import tempfile
 import uuid
@@ -17,10 +16,11 @@ CHUNK_BYTES = 4 << 20
 #: A chunk holds about this many documents where texts are short.
 CHUNK_DOCS = 200
 #: Rows of an Arrow batch of texts.
-BATCH_ROWS = 1000
-#: Longs (a power of two) and hashes of the screens that tell which rows' texts must move: 8 MB. Beyond some 20 million ids a screen
-#: lets more and more other rows pass, which costs their way and nothing else.
-SCREEN_WORDS, SCREEN_HASHES = 1 << 20, 2
+BATCH_ROWS = 500
+#: Parts of the screens that tell which rows' texts must move, and longs of a part: 8 MB in all. Beyond some 20 million ids a screen lets
+#: more and more other rows pass, which costs their way and nothing else.
+SCREEN_PARTS, SCREEN_WORDS = 64, 1 << 14
+_PART_BITS = 6
 #: ASCII white space, as the contracts name it: [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z and leaves every other byte.
@@ -63,34 +63,40 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def id_hashes(doc_id: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(i), doc_id.cast("long")) for i in range(SCREEN_HASHES)]
+def id_hash(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"))
 
 
-def screen_of(table: DataFrame, hashes: Column) -> DataFrame:
-    """A Bloom filter over the hashes (an array of longs, whose lowest bits count) of a table's rows, as one row (bits: an array of
-    SCREEN_WORDS longs) made of partial sums."""
-    words = table.select(F.explode(hashes).alias("h")).select(F.expr(f"cast(shiftrightunsigned(h, 6) & {SCREEN_WORDS - 1} as int)").alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    every = table.sparkSession.range(0, SCREEN_WORDS, 1, 1).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("bit"))
-    every = words.unionAll(every).groupBy("i").agg(F.bit_or("bit").alias("word"))
-    # One row of SCREEN_WORDS numbers, however many rows there are.
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("bits"))
+def screen_of(table: DataFrame, key: Column) -> DataFrame:
+    """A Bloom filter in blocks over a 64-bit hash of a table's rows: SCREEN_PARTS rows (screen part, screen bits: an array of SCREEN_WORDS longs), whose
+    size does not depend on the table. The highest bits of a hash choose its part, two other slices of it its bits there."""
+    mask = 64 * SCREEN_WORDS - 1
+    rows = table.select(key.alias("h")).selectExpr(f"cast(shiftrightunsigned(h, {64 - _PART_BITS}) as int) AS part", f"explode(array(h & {mask}L, shiftrightunsigned(h, 20) & {mask}L)) AS at")
+    words = rows.selectExpr("part", "cast(shiftrightunsigned(at, 6) as int) AS i", "shiftleft(1L, cast(at & 63 as int)) AS bit")
+    every = table.sparkSession.range(SCREEN_PARTS * SCREEN_WORDS).selectExpr(f"cast(id div {SCREEN_WORDS} as int) AS part", f"cast(id % {SCREEN_WORDS} as int) AS i", "0L AS bit")
+    every = words.unionAll(every).groupBy("part", "i").agg(F.bit_or("bit").alias("word"))
+    return every.groupBy(F.col("part").alias("screen part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("screen bits"))  # SCREEN_WORDS each
 
 
 def passes(doc_id: Column) -> Column:
-    """Whether the screen, whose ``bits`` are at hand, may have a doc_id; false only if it does not."""
-    h = id_hashes(doc_id)
-    word = lambda x: F.get(F.col("bits"), F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(SCREEN_WORDS - 1)).cast("int"))
-    bits = [F.getbit(word(x), x.bitwiseAND(F.lit(63)).cast("int")) == 1 for x in h]
-    return functools.reduce(lambda a, b: a & b, bits)
+    """Whether the screen may have a doc_id: the condition of a join with it; not met only if the screen does not have it."""
+    h, mask = id_hash(doc_id), 64 * SCREEN_WORDS - 1
+    part = F.shiftrightunsigned(h, 64 - _PART_BITS).cast("int")
+
+    def held(at):
+        word = F.get(F.col("screen bits"), F.shiftrightunsigned(at, 6).cast("int"))
+        return F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return (part == F.col("screen part")) & held(h.bitwiseAND(F.lit(mask))) & held(F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(mask)))
 
 
 def split_rows(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose doc_id is certainly not among ``ids``, and the others, told apart where they are read: no text moves.
 
-    The screen is one row of a fixed 8 MB at any size; with very many ids it lets more rows pass and loses none."""
-    screen = F.broadcast(materialise(screen_of(ids, F.array(*id_hashes(F.col("doc_id")))), "screen"))
-    return docs.join(screen, passes(F.col("doc_id")), "left_anti"), docs.join(screen, passes(F.col("doc_id")), "left_semi")
+    The screen has a fixed 8 MB at any size; with very many ids it lets more rows pass and loses none."""
+    screen = F.broadcast(materialise(screen_of(ids, id_hash(F.col("doc_id"))), "screen"))
+    met = passes(F.col("doc_id"))
+    return docs.join(screen, met, "left_anti"), docs.join(screen, met, "left_semi")
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SCREEN_WORDS, blocks, id_and_text, materialise, mix64, read_table, run_bounds, screen_of, sorted_runs, text_bytes
+from textloom.llm.common import SCREEN_PARTS, SCREEN_WORDS, blocks, id_and_text, materialise, mix64, read_table, run_bounds, screen_of, sorted_runs, text_bytes
 
 WINDOW = 5
 #: Share of an item's windows that a document must have, and share of its slots that must be consistent.
@@ -312,8 +312,9 @@ def _document_windows(docs: DataFrame, sizes: list[int], screen: np.ndarray) ->
     shared = docs.sparkSession.sparkContext.broadcast(screen)
 
     def passing(h):
-        bit = lambda x: shared.value[(x >> np.uint64(6)) & np.uint64(SCREEN_WORDS - 1)] >> (x & np.uint64(63)) & np.uint64(1)
-        return np.flatnonzero(bit(h) & bit(h >> np.uint64(26)))
+        mask = np.uint64(64 * SCREEN_WORDS - 1)
+        word = lambda at: shared.value[(h >> np.uint64(58)).astype(np.int64), (at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+        return np.flatnonzero(word(h & mask) & word(h >> np.uint64(20) & mask))
 
     def run(batches):
         import pyarrow as pa
@@ -337,7 +338,8 @@ def _found_by_shuffle(docs: DataFrame, items: DataFrame, threshold: float, consi
     windows = materialise(_item_windows(items), "item-windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most 2 * WINDOW numbers
     key = ["doc_id", "text_hash", "item_id", "literal"]
-    screen = screen_of(windows, F.array("window", F.shiftrightunsigned("window", 26))).toArrow().column("bits").chunk(0).values.to_numpy().view(np.uint64)
+    parts = screen_of(windows, F.col("window")).orderBy("screen part").toArrow()  # SCREEN_PARTS rows
+    screen = parts.column("screen bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(SCREEN_PARTS, SCREEN_WORDS)
     met = _document_windows(docs, sizes, screen).join(windows.drop("size"), "window").drop("window")
 
     def run(batches):

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, drop_rows, id_and_text, id_hashes, materialise, mix64, passes, read_table, screen_of, split_rows
+from textloom.llm.common import discard, drop_rows, id_and_text, id_hash, materialise, mix64, passes, read_table, screen_of, split_rows
 
 #: Digests of one filter shard, about; small tables have SHARDS shards all the same.
 SHARD_KEYS = 500_000
@@ -184,7 +184,7 @@ def differing(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     rows: doc_id, digest of every row. shared: digest, bucket, n (rows) of digests that several rows have. Texts of other rows stay
     where they are read, but for those that the screen of members lets pass by chance. A bucket's first text goes to one part for
     each PART_ROWS of its rows, so that many copies of a text do not meet in one task."""
-    screen = materialise(screen_of(rows.join(shared, "digest"), F.array(*id_hashes(F.col("doc_id")))), "screen")
+    screen = materialise(screen_of(rows.join(shared, "digest"), id_hash(F.col("doc_id"))), "screen")
     d = id_and_text(docs).join(F.broadcast(screen), passes(F.col("doc_id")), "left_semi").select("doc_id", normalised(F.col("text")).alias("norm"))
     d = d.withColumn("digest", F.sha2("norm", 256)).join(shared, "digest")
     parts = F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int")
