@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import index, overlap, tfidf
 from textloom.plans.catalogue import query
 from textloom.plans.tables import CORPORA_SQL, benchmark, cal, documents, mm, table, tokens_sql
+from textloom.sources import sinks
 
 
 def corpora(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,10 +150,10 @@ x AS (SELECT id, term, (1 + ln(CAST(tf AS DOUBLE))) * (1 + ln((1.0 + (SELECT n F
 w AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM x)"""
 
 
-def tfidf_rows(spark, sf_dir):
+def tfidf_rows(spark, sf_dir, only=None):
     key = lambda df, p: df.select(F.concat(F.lit(p), F.col("id")).alias("id"), "tokens")
     docs = key(benchmark(spark, sf_dir), "a").unionAll(key(documents(spark, sf_dir), "c"))
-    return tfidf.tfidf(docs, docs.count())
+    return tfidf.tfidf(docs, docs.count(), only=only)
 
 
 @query("tfidf_weights", f"WITH {TFIDF_SQL} SELECT id, CAST(count(*) AS BIGINT) AS n, round(sum(w), 4) AS total, round(max(w), 6) AS most, arg_max(term, (round(w, 9), term)) AS first FROM w GROUP BY id")
@@ -167,8 +168,9 @@ SELECT top.anchor, top.cand, round(coalesce(dot, 0), 6) AS tfidf FROM top LEFT J
 def tfidf_pairs(spark, sf_dir):
     a, c, idf = corpora(spark, sf_dir)
     top = overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf))
-    w = tfidf_rows(spark, sf_dir)
-    pairs = top.select(F.concat(F.lit("a"), "anchor").alias("anchor"), F.concat(F.lit("c"), "cand").alias("cand"))
+    pairs = sinks.scratch(top.select(F.concat(F.lit("a"), "anchor").alias("anchor"), F.concat(F.lit("c"), "cand").alias("cand")))
+    wanted = pairs.select(F.col("anchor").alias("id")).unionAll(pairs.select(F.col("cand").alias("id"))).distinct()
+    w = sinks.scratch(tfidf_rows(spark, sf_dir, wanted))
     dots = tfidf.sparse_dot(pairs, w, w)
     return dots.select(F.substring("anchor", 2, 20).cast("long").alias("anchor"), F.substring("cand", 2, 20).cast("long").alias("cand"), F.round("tfidf", 6).alias("tfidf"))
 
