@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, exact, language_model, licenses, pii, quality, simhash, suffixes, toxicity
+from textloom.llm import bpe, decontaminate, exact, language_model, licenses, pii, quality, simhash, sql, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -22,5 +22,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": sql.repeated_passages_sql(),
+        "op7_simhash": sql.simhash_sql(),
         "op9_exact_dedup": exact.OP9_SQL,
+        "op10_license_scan": sql.license_scan_sql(),
     }
