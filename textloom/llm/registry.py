@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, decontaminate, exact, language_model, licenses, pii, quality, simhash, sql, suffixes, toxicity
+from textloom.llm import bpe, conversations, decontaminate, exact, language_model, licenses, pii, quality, simhash, sql, suffixes, token_counts, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_exact_dedup": exact.op9_exact_dedup,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
