@@ -23,8 +23,10 @@ def smoothed_idf(df: Column, n: Column) -> Column:
     return 1.0 + F.log((1.0 + n) / (1.0 + df))
 
 
-def idf_table(term_rows: DataFrame, n_docs: int) -> DataFrame:
-    return document_frequency(term_rows).withColumn("idf", smoothed_idf(F.col("df"), F.lit(float(n_docs))))
+def idf_table(term_rows: DataFrame, n_docs: int | Column) -> DataFrame:
+    """term, df, idf. n_docs: a number or a scalar subquery."""
+    n = n_docs.cast("double") if isinstance(n_docs, Column) else F.lit(float(n_docs))
+    return document_frequency(term_rows).withColumn("idf", smoothed_idf(F.col("df"), n))
 
 
 def generic_terms(df: DataFrame, n_docs: int, ratio: float) -> DataFrame:

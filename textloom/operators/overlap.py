@@ -48,11 +48,27 @@ def lexical_same_corpus(pairs: DataFrame, least: int = 2) -> DataFrame:
     return p.withColumn("raw", raw).withColumn("score", calibrated_percentage(F.col("raw"), 0.10, 0.92, 1.08))
 
 
+class CrossScores:
+    """The lexical score of a pair of two corpora. It grows with the Jaccard coefficient, the recall and the number of shared terms."""
+
+    def raw(self, jaccard: Column, recall: Column, k: Column) -> Column:
+        return 0.45 * minmax01(jaccard, 0.02, 0.45) + 0.35 * minmax01(recall, 0.05, 0.90) + 0.20 * minmax01(k, 1, 6)
+
+    def score(self, raw: Column) -> Column:
+        return calibrated_percentage(raw, 0.08, 0.85, 1.10)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """pairs (jaccard, recall, k) with raw and score."""
+        return pairs.withColumn("raw", self.raw(F.col("jaccard"), F.col("recall"), F.col("k"))).withColumn("score", self.score(F.col("raw")))
+
+
+cross_scores = CrossScores()
+
+
 def lexical_cross_corpus(pairs: DataFrame, k: int = 50) -> DataFrame:
-    """The best k candidates of each anchor with any shared token: raw, score, rank."""
-    raw = 0.45 * minmax01(F.col("jaccard"), 0.02, 0.45) + 0.35 * minmax01(F.col("recall"), 0.05, 0.90) + 0.20 * minmax01(F.col("k"), 1, 6)
-    p = pairs.withColumn("raw", raw).withColumn("score", calibrated_percentage(F.col("raw"), 0.08, 0.85, 1.10))
-    return top_k(p, ["anchor"], [F.desc("score"), F.desc("k"), F.asc("cand")], k)
+    """The best k candidates of each anchor with any shared token: raw, score, rank. From all pairs; bounded.TopOverlap gives the same
+    without making them."""
+    return top_k(cross_scores(pairs), ["anchor"], [F.desc("score"), F.desc("k"), F.asc("cand")], k)
 
 
 def shared_terms(pairs: DataFrame, anchors: DataFrame, candidates: DataFrame, weights: DataFrame, n: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import index, overlap, tfidf
+from textloom.operators import bounded, index, overlap, tfidf
 from textloom.plans.catalogue import query
 from textloom.plans.tables import CORPORA_SQL, benchmark, cal, documents, mm, table, tokens_sql
 from textloom.sources import sinks
@@ -13,10 +13,16 @@ from textloom.sources import sinks
 
 def corpora(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Terms of anchors and candidates, and IDF over both."""
-    ad, cd = benchmark(spark, sf_dir), documents(spark, sf_dir)
-    n = ad.count() + cd.count()
-    a, c = index.terms(ad), index.terms(cd)
-    return a, c, index.idf_table(a.unionAll(c), n)
+    a, c, idf, _ = written_corpora(spark, sf_dir)
+    return a, c, idf
+
+
+def written_corpora(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same and the table of texts. Each text is tokenised once, into a written table, and IDF is written too."""
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "id", F.array_distinct("tokens").alias("terms"))
+    texts = sinks.scratch(side(benchmark(spark, sf_dir), "a").unionAll(side(documents(spark, sf_dir), "c")))
+    a, c = (texts.where(F.col("side") == s).select("id", F.explode("terms").alias("term")) for s in "ac")
+    return a, c, sinks.scratch(bounded.numbered_terms(index.idf_table(texts.select(F.explode("terms").alias("term")), texts.select(F.count(F.lit(1))).scalar()))), texts
 
 
 @query("norm_en_tokens", f"""
@@ -67,8 +73,11 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY
 
 @query("overlap_cross_top50", f"WITH {C4_SQL} SELECT anchor, cand, CAST(k AS BIGINT) AS k, score, round(raw, 6) AS raw, CAST(rank AS INTEGER) AS rank FROM top")
 def overlap_cross_top50(spark, sf_dir):
-    a, c, idf = corpora(spark, sf_dir)
-    return overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf)).select("anchor", "cand", "k", "score", F.round("raw", 6).alias("raw"), "rank")
+    return best_overlaps(spark, sf_dir).select("anchor", "cand", "k", "score", F.round("raw", 6).alias("raw"), "rank")
+
+
+def best_overlaps(spark, sf_dir) -> DataFrame:
+    return bounded.TopOverlap(*corpora(spark, sf_dir)).best()
 
 
 @query("overlap_signals", f"WITH {PAIRS_SQL} SELECT anchor, cand, CAST(k AS BIGINT) AS k, round(inter, 6) AS inter, round(recall, 6) AS recall, round(jaccard, 6) AS jaccard FROM s")
@@ -83,7 +92,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY anchor, cand ORDER BY w DESC, te
 SELECT anchor, cand, string_agg(term, '|' ORDER BY i) AS shared FROM o WHERE i <= 8 GROUP BY 1, 2""")
 def shared_terms_display(spark, sf_dir):
     a, c, idf = corpora(spark, sf_dir)
-    top = overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf))
+    top = sinks.scratch(bounded.TopOverlap(a, c, idf).best().select("anchor", "cand"))
     return overlap.shared_terms(top, a, c, idf).select("anchor", "cand", F.array_join("shared", "|").alias("shared"))
 
 
@@ -102,9 +111,13 @@ p AS (SELECT x.id AS anchor, y.id AS cand, count(*) AS k, sum(x.w) AS inter FROM
 s AS (SELECT anchor, cand, k, inter / u.base AS recall, inter / (u.base + v.base - inter) AS jaccard FROM p JOIN s0 u ON u.id = anchor JOIN s0 v ON v.id = cand)
 SELECT anchor, cand, CAST(k AS BIGINT) AS k, {cal(C3_RAW, 0.10, 0.92, 1.08)} AS score FROM s""")
 def overlap_self_ge2(spark, sf_dir):
-    b = baskets(spark, sf_dir)
+    return basket_pairs(spark, sf_dir).select("anchor", "cand", "k", "score")
+
+
+def basket_pairs(spark, sf_dir) -> DataFrame:
+    b = sinks.scratch(baskets(spark, sf_dir))
     idf = index.idf_table(b, b.select("id").distinct().count())
-    return overlap.lexical_same_corpus(overlap.weighted_overlap(b, b, idf, same=True)).select("anchor", "cand", "k", "score")
+    return overlap.lexical_same_corpus(bounded.pairs_of_two(b, idf))
 
 
 @query("client_root_pairs", f"""
@@ -115,9 +128,7 @@ s AS (SELECT anchor, cand, k, inter / u.base AS recall, inter / (u.base + v.base
 c AS (SELECT anchor, cand, k, {cal(C3_RAW, 0.10, 0.92, 1.08)} AS score FROM s)
 SELECT anchor, cand, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, k DESC, cand) AS rank FROM c) WHERE rank <= 20""")
 def client_root_pairs(spark, sf_dir):
-    b = baskets(spark, sf_dir)
-    idf = index.idf_table(b, b.select("id").distinct().count())
-    return overlap.first_pairs(overlap.lexical_same_corpus(overlap.weighted_overlap(b, b, idf, same=True))).select("anchor", "cand", "score", "rank")
+    return overlap.first_pairs(basket_pairs(spark, sf_dir)).select("anchor", "cand", "score", "rank")
 
 
 ROOT = "substring({t}, 1, 3)"
@@ -132,9 +143,9 @@ y AS (SELECT *, bool_or(NOT generic) OVER (PARTITION BY anchor, cand) AS telling
 SELECT anchor, cand, string_agg(term, '|' ORDER BY i) AS shared FROM z WHERE i <= 8 GROUP BY 1, 2""")
 def shared_roots_first(spark, sf_dir):
     """What a pair shares: first letters, which stand for roots, then tokens; generic ones only where there is nothing else."""
-    a, c, idf = corpora(spark, sf_dir)
-    n = benchmark(spark, sf_dir).count() + documents(spark, sf_dir).count()
-    top = overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf))
+    a, c, idf, texts = written_corpora(spark, sf_dir)
+    n = texts.count()
+    top = sinks.scratch(bounded.TopOverlap(a, c, idf).best().select("anchor", "cand"))
     root = lambda df: df.select("id", F.substring("term", 1, 3).alias("term")).distinct()
     ri = index.idf_table(root(a).unionAll(root(c)), n)
     generic = lambda t: index.generic_terms(t, n, 0.05).select("term")
@@ -166,8 +177,7 @@ WITH top AS (WITH {C4_SQL} SELECT anchor, cand FROM top), {TFIDF_SQL},
 dots AS (SELECT top.anchor, top.cand, sum(x.w * y.w) AS dot FROM top JOIN w x ON x.id = 'a' || top.anchor JOIN w y ON y.id = 'c' || top.cand AND y.term = x.term GROUP BY 1, 2)
 SELECT top.anchor, top.cand, round(coalesce(dot, 0), 6) AS tfidf FROM top LEFT JOIN dots USING (anchor, cand)""")
 def tfidf_pairs(spark, sf_dir):
-    a, c, idf = corpora(spark, sf_dir)
-    top = overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf))
+    top = best_overlaps(spark, sf_dir)
     pairs = sinks.scratch(top.select(F.concat(F.lit("a"), "anchor").alias("anchor"), F.concat(F.lit("c"), "cand").alias("cand")))
     wanted = pairs.select(F.col("anchor").alias("id")).unionAll(pairs.select(F.col("cand").alias("id"))).distinct()
     w = sinks.scratch(tfidf_rows(spark, sf_dir, wanted))
@@ -177,6 +187,5 @@ def tfidf_pairs(spark, sf_dir):
 
 @query("min_score_filter", f"WITH {C4_SQL} SELECT anchor, count(*) AS n, count(*) FILTER (score >= 50) AS high FROM top WHERE score >= 25 GROUP BY anchor")
 def min_score_filter(spark, sf_dir):
-    a, c, idf = corpora(spark, sf_dir)
-    top = overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf)).where("score >= 25")
+    top = best_overlaps(spark, sf_dir).where("score >= 25")
     return top.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 50).alias("high"))
