@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.operators import fuzzy, index, knn, overlap, quality, ranges, relations, semantic
@@ -29,10 +30,29 @@ def test_knn_equals_brute_force_in_any_partitioning(spark):
     rows = [(i, [random.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(60, [0.0] * 5)]
     cos = lambda u, v: sum(a * b for a, b in zip(u, v, strict=True)) / ((math.hypot(*u) or 1) * (math.hypot(*v) or 1))
     want = {(i, j) for i, u in rows for j, _ in sorted(((j, -cos(u, v)) for j, v in rows if j != i), key=lambda x: (round(x[1], 12), x[0]))[:4] if i != 60}
-    for parts, most in ((1, 1000), (7, 1000), (3, 20)):
+    for parts, cell, block in ((1, 1000, None), (7, 20, 5), (3, 1, 7)):
         v = spark.createDataFrame(rows, "id long, vec array<double>").repartition(parts)
-        got = {(r.anchor, r.cand) for r in knn.knn(v, v, 4, same=True, max_queries=most).collect() if r.anchor != 60}
-        assert got == want
+        found = [r for r in knn.knn(v, v, 4, same=True, cell_rows=cell, block_rows=block).collect() if r.anchor != 60]
+        assert {(r.anchor, r.cand) for r in found} == want and all(math.isclose(r.cosine, cos(rows[r.anchor][1], rows[r.cand][1]), abs_tol=1e-12) for r in found)
+
+
+def test_knn_passes_cells_over(spark):
+    """Clusters far from each other: a query meets the blocks of its own, and equal vectors are settled by id."""
+    random.seed(9)
+    centre = [[10.0 if i == j else 0.0 for j in range(8)] for i in range(8)]
+    rows = [(i, [c + random.gauss(0, 0.1) for c in centre[i % 8]]) for i in range(800)] + [(1000 + i, [1.0] * 8) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    plain = knn.knn(v, v, 5, same=True, cell_rows=10**6, block_rows=10**6)
+    bounded = knn.knn(v, v, 5, same=True, cell_rows=20, block_rows=30)
+    rows = lambda df: sorted((r.anchor, r.cand, r["rank"]) for r in df.collect())
+    assert rows(bounded) == rows(plain)
+    unit = knn._unit(np.array(centre))
+    asked = spark.createDataFrame([(1, 0.9, unit[0].tolist())], "id long, least double, vec array<double>")
+    routed = knn._routed(asked, unit, np.zeros(8), np.full(8, 0.2), np.arange(8) * 2, np.full(8, 2)).collect()
+    assert routed[0].blocks == [0, 1]
+    # of 300 equal vectors a block gives each query k, not all
+    met = knn._met(v.where("id >= 1000").selectExpr("0 AS block", "explode(array(0, 1)) AS kind", "id", "-2D AS least", "vec"), 5, True)
+    assert met.count() == 5 * 300
 
 
 def test_knn_of_nothing(spark):
