@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.operators import fuzzy, index, knn, overlap, quality, ranges, relations, semantic
+from textloom.operators import fuzzy, index, knn, overlap, postings, quality, ranges, relations, semantic
 
 
 def test_overlap_bounds_and_values(spark):
@@ -60,10 +60,11 @@ def test_knn_of_nothing(spark):
     assert knn.knn(v, v, 3).count() == 0
 
 
-def test_blocking_loses_no_near_term_that_shares_a_trigram(spark):
+def test_blocking_loses_no_near_term_that_shares_a_trigram(spark, tmp_path):
     terms = ["mercy", "mercies", "merci", "marcy", "grace", "graces", "tracing", "xyz"]
     rows = spark.createDataFrame(list(enumerate(terms)), "id int, term string")
-    got = {r.term: r.dist for r in fuzzy.close_tokens(spark.createDataFrame([("mercy",)], "tok string"), rows).collect()}
+    written = postings.build(rows, f"{tmp_path}/index")
+    got = {r.term: r.dist for r in fuzzy.close_tokens(spark.createDataFrame([("mercy",)], "tok string"), written).collect()}
     assert got == {"mercy": 0, "merci": 1, "marcy": 1}  # mercies is three edits away, and two are allowed
 
 

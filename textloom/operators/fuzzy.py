@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.scores import min_match
 from textloom.functions.text import max_allowed_edits, normalize_en, stem_variants_en, trigrams
 from textloom.operators.overlap import top_k
+from textloom.operators.postings import Postings
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -16,15 +17,14 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.where(normal != "").select("qid", F.posexplode(F.split(normal, " ")).alias("pos", "tok"))
 
 
-def close_tokens(tokens: DataFrame, vocabulary: DataFrame, shortlist: int = 1200, accepted: int = 12) -> DataFrame:
+def close_tokens(tokens: DataFrame, index: Postings, shortlist: int = 1200, accepted: int = 12) -> DataFrame:
     """tok, term, dist, hits: vocabulary terms near each token.
 
-    tokens: tok. vocabulary: term. A term's hits are the trigrams, repeats included, that it shares with the token's variants; the
-    shortlist by hits is cut by length and by the least edit distance over the variants."""
+    tokens: tok. A term's hits are the trigrams, repeats included, that it shares with the token's variants; the shortlist by hits is cut
+    by length and by the least edit distance over the variants."""
     variants = tokens.select("tok").distinct().select("tok", F.explode(stem_variants_en(F.col("tok"))).alias("variant"), max_allowed_edits(F.col("tok")).alias("max_ed"))
     grams = variants.select("tok", F.explode(trigrams(F.col("variant"))).alias("gram")).groupBy("tok", "gram").agg(F.count(F.lit(1)).alias("times"))
-    index = vocabulary.select("term").distinct().select("term", F.explode(F.array_distinct(trigrams(F.col("term")))).alias("gram"))
-    hits = grams.join(index, "gram").groupBy("tok", "term").agg(F.sum("times").alias("hits"))
+    hits = index.near(grams).groupBy("tok", "term").agg(F.sum("times").alias("hits"))
     short = top_k(hits, ["tok"], [F.desc("hits"), F.asc(F.length("term")), F.asc("term")], shortlist).drop("rank")
     near = short.join(variants, "tok").where(F.abs(F.length("term") - F.length("variant")) <= F.col("max_ed"))
     near = near.withColumn("d", F.levenshtein("variant", "term")).where(F.col("d") <= F.col("max_ed"))
@@ -32,27 +32,24 @@ def close_tokens(tokens: DataFrame, vocabulary: DataFrame, shortlist: int = 1200
     return top_k(best, ["tok"], [F.asc("dist"), F.desc("hits"), F.asc("term")], accepted).select("tok", "term", "dist", "hits", "max_ed")
 
 
-def fuzzy_search(queries: DataFrame, term_rows: DataFrame, limit: int = 200, **settings) -> DataFrame:
-    """qid, id, score, matched, rank: documents in which enough tokens of the query have a near term. term_rows: id, term."""
+def fuzzy_search(queries: DataFrame, index: Postings, limit: int = 200, **settings) -> DataFrame:
+    """qid, id, score, matched, rank: documents in which enough tokens of the query have a near term."""
     toks = query_tokens(queries)
-    near = close_tokens(toks, term_rows, **settings).withColumn("votes", F.col("max_ed") - F.col("dist") + 1 + F.when(F.col("dist") == 0, 2).otherwise(0))
-    found = toks.join(near.select("tok", "term", "votes"), "tok").join(term_rows.select("id", "term"), "term")
+    near = close_tokens(toks, index, **settings).withColumn("votes", F.col("max_ed") - F.col("dist") + 1 + F.when(F.col("dist") == 0, 2).otherwise(0))
+    found = index.rows(toks.join(near.select("tok", "term", "votes"), "tok"))
     score = found.groupBy("qid", "id").agg(F.sum("votes").alias("score"), F.countDistinct("pos").alias("matched"))
     size = toks.groupBy("qid").agg(min_match(F.count(F.lit(1))).alias("needed"))
     kept = score.join(size, "qid").where("matched >= needed")
     return top_k(kept, ["qid"], [F.desc("score"), F.asc("id")], limit).select("qid", "id", "score", "matched", "rank")
 
 
-def all_words_search(queries: DataFrame, term_rows: DataFrame, limit: int = 50) -> DataFrame:
+def all_words_search(queries: DataFrame, index: Postings, limit: int = 50) -> DataFrame:
     """qid, id, rank: the mobile client's search. A word that is a term gives its documents, another one those of all terms that share a
     trigram with it; a document must have all words. A word under three letters that is no term gives none."""
-    words = queries.select("qid", F.posexplode(F.split(F.trim(F.lower("query")), r"\s+")).alias("pos", "word")).where("word <> ''")
-    vocabulary = term_rows.select("term").distinct()
-    exact = words.join(vocabulary, words["word"] == vocabulary["term"]).select("qid", "pos", "term")
-    open_words = words.join(vocabulary, words["word"] == vocabulary["term"], "left_anti").where(F.length("word") >= 3)
-    grams = open_words.select("qid", "pos", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
-    index = vocabulary.select("term", F.explode(F.array_distinct(trigrams(F.col("term")))).alias("gram"))
-    near = grams.join(index, "gram").select("qid", "pos", "term").distinct()
-    hit = exact.unionAll(near).join(term_rows.select("id", "term"), "term").groupBy("qid", "id").agg(F.countDistinct("pos").alias("n"))
+    words = queries.select("qid", F.posexplode(F.split(F.trim(F.lower("query")), r"\s+")).alias("pos", "term")).where("term <> ''")
+    exact = index.known(words).select("qid", "pos", "term")
+    open_words = index.unknown(words).where(F.length("term") >= 3)
+    grams = open_words.select("qid", "pos", F.explode(F.array_distinct(trigrams(F.col("term")))).alias("gram"))
+    near = index.near(grams).select("qid", "pos", "term").distinct()
     size = words.groupBy("qid").agg(F.count(F.lit(1)).alias("words"))
-    return top_k(hit.join(size, "qid").where("n = words"), ["qid"], [F.asc("id")], limit).select("qid", "id", "rank")
+    return top_k(index.common(exact.unionAll(near).join(size, "qid")), ["qid"], [F.asc("id")], limit).select("qid", "id", "rank")

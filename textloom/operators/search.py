@@ -10,6 +10,7 @@ from textloom.functions.text import cache_key, normalize_ar, normalize_en, norma
 from textloom.models import Reranker, no_reranker
 from textloom.operators.knn import knn
 from textloom.operators.overlap import top_k
+from textloom.operators.postings import Postings
 
 
 def by_id(queries: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
@@ -17,14 +18,14 @@ def by_id(queries: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
     return queries.select("qid", parse_id(F.col("query")).alias(key)).where(F.col(key).isNotNull()).join(records, key)
 
 
-def by_keyword(queries: DataFrame, term_rows: DataFrame) -> DataFrame:
+def by_keyword(queries: DataFrame, index: Postings) -> DataFrame:
     """qid, id. The whole normalised query is one index key, so a query of several words finds nothing."""
-    return queries.select("qid", normalize_ar(F.col("query")).alias("term")).join(term_rows.select("id", "term"), "term").select("qid", "id")
+    return index.rows(queries.select("qid", normalize_ar(F.col("query")).alias("term"))).select("qid", "id")
 
 
-def by_root(words: DataFrame, term_rows: DataFrame, limit: int = 200) -> DataFrame:
-    """word, id, rank: the documents of a root or word, for grouping and counting."""
-    return top_k(words.select(F.col("word").alias("term")).join(term_rows.select("id", "term"), "term"), ["term"], [F.asc("id")], limit).withColumnRenamed("term", "word")
+def by_root(words: DataFrame, index: Postings, limit: int = 200) -> DataFrame:
+    """word, id, rank: the documents of a root or word, for grouping and counting. Later blocks of a long list are not read."""
+    return index.first(words.select(F.col("word").cast("string").alias("term")), limit).withColumnRenamed("term", "word")
 
 
 def keyword_flag(text: Column, query: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import ids
 from textloom.functions import text as tx
-from textloom.operators import index, quality, relations, search
+from textloom.operators import index, postings, quality, relations, search
 from textloom.plans.catalogue import query
 from textloom.plans.tables import documents, table, tokens_sql
 
@@ -41,8 +41,8 @@ def keyword_lookup(spark, sf_dir):
     """A whole query is one key of the index, so the second, of two words, finds nothing. Normalisation leaves the digits of Latin words,
     and so the index has those of sources."""
     q = spark.createDataFrame([(0, "src0"), (1, "src0 src1"), (2, "none")], "qid int, query string")
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.normalize_ar("source").alias("term"))
-    return search.by_keyword(q, t)
+    t = lambda: table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.normalize_ar("source").alias("term"))
+    return search.by_keyword(q, postings.built(spark, f"{sf_dir}/documents.parquet", "sources", t))
 
 
 @query("array_sets", """

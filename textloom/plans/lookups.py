@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import fuzzy, index, quality, ranges, relations
+from textloom.operators import fuzzy, index, postings, quality, ranges, relations
 from textloom.plans.catalogue import query
 from textloom.plans.tables import documents, table, tokens_sql
 from textloom.sources import readers, sinks
@@ -20,6 +20,21 @@ def asked(spark):
     return spark.createDataFrame(list(enumerate(ASKED)), "qid int, query string")
 
 
+def document_index(spark, sf_dir):
+    """The written index of documents' terms, built by the first query that asks for it."""
+    return postings.built(spark, f"{sf_dir}/documents.parquet", "tokens", lambda: index.terms(documents(spark, sf_dir)))
+
+
+@query("postings_blocks", f"""
+WITH d AS ({tokens_sql("documents", "doc_id")}), t AS (SELECT id, unnest(list_distinct(tokens)) AS term FROM d)
+SELECT term, id // 8192 AS block, CAST(count(*) AS INTEGER) AS n, min(id) AS first_id, max(id) AS last_id, md5(string_agg(CAST(id AS VARCHAR), '|' ORDER BY id)) AS said FROM t GROUP BY 1, 2""")
+def postings_blocks(spark, sf_dir):
+    """The index block by block."""
+    ids = F.transform("offsets", lambda o: F.col("block") * postings.SPAN + o)
+    lists = document_index(spark, sf_dir).lists.withColumn("ids", ids)
+    return lists.select("term", "block", "n", F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), "|")).alias("said"))
+
+
 GRAMS = "list_transform(range(1, length({t}) - 1), lambda i: substring({t}, CAST(i AS INTEGER), 3))"
 FUZZY_SQL = f"""
 d AS ({tokens_sql("documents", "doc_id")}), t AS (SELECT id, unnest(list_distinct(tokens)) AS term FROM d), v AS (SELECT DISTINCT term FROM t), {ASKED_SQL},
@@ -37,7 +52,7 @@ ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY dis
 
 @query("fuzzy_close_tokens", f"WITH {FUZZY_SQL} SELECT tok, term, CAST(dist AS INTEGER) AS dist, CAST(hits AS BIGINT) AS hits FROM ct")
 def fuzzy_close_tokens(spark, sf_dir):
-    return fuzzy.close_tokens(fuzzy.query_tokens(asked(spark)), index.terms(documents(spark, sf_dir))).select("tok", "term", "dist", "hits")
+    return fuzzy.close_tokens(fuzzy.query_tokens(asked(spark)), document_index(spark, sf_dir)).select("tok", "term", "dist", "hits")
 
 
 @query("fuzzy_search", f"""
@@ -45,7 +60,7 @@ WITH {FUZZY_SQL}, f AS (SELECT qid, pos, t.id, max_ed - dist + 1 + CASE WHEN dis
 s AS (SELECT qid, id, sum(votes) AS score, count(DISTINCT pos) AS matched FROM f GROUP BY 1, 2), z AS (SELECT qid, greatest(1, CAST(ceil(count(*) * 3 / 5.0) AS INTEGER)) AS needed FROM toks GROUP BY 1)
 SELECT qid, id, CAST(score AS BIGINT) AS score, matched, CAST(rank AS INTEGER) AS rank FROM (SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s JOIN z USING (qid) WHERE matched >= needed) WHERE rank <= 200""")
 def fuzzy_search(spark, sf_dir):
-    return fuzzy.fuzzy_search(asked(spark), index.terms(documents(spark, sf_dir)))
+    return fuzzy.fuzzy_search(asked(spark), document_index(spark, sf_dir))
 
 
 @query("mobile_search", f"""
@@ -57,7 +72,7 @@ og AS (SELECT DISTINCT qid, pos, unnest(CASE WHEN length(word) <= 3 THEN [word]
 hit AS (SELECT qid, id, count(DISTINCT pos) AS n FROM (SELECT * FROM ex UNION ALL SELECT DISTINCT qid, pos, term FROM og JOIN ix USING (gram)) JOIN t USING (term) GROUP BY 1, 2)
 SELECT qid, id, CAST(rank AS INTEGER) AS rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM hit JOIN (SELECT qid, count(*) AS words FROM w GROUP BY 1) USING (qid) WHERE n = words) WHERE rank <= 50""")
 def mobile_search(spark, sf_dir):
-    return fuzzy.all_words_search(asked(spark), index.terms(documents(spark, sf_dir)))
+    return fuzzy.all_words_search(asked(spark), document_index(spark, sf_dir))
 
 
 @query("root_drilldown", """
@@ -67,9 +82,10 @@ SELECT term AS word, CAST(id % 10 AS INTEGER) AS grp, count(*) AS n, min(id) AS
 def root_drilldown(spark, sf_dir):
     from textloom.operators.search import by_root
 
-    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("term")).distinct()
+    b = lambda: table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("term"))
     words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("word"))
-    return by_root(words, b).groupBy("word", (F.col("id") % 10).cast("int").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    found = by_root(words, postings.built(spark, f"{sf_dir}/lineitem.parquet", "baskets", b)).withColumn("word", F.col("word").cast("long"))
+    return found.groupBy("word", (F.col("id") % 10).cast("int").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 # Ranges and sequences
