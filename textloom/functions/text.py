@@ -98,9 +98,18 @@ def _words(normal: Column) -> Column:
     return F.when(normal == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(normal, " "))
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words that looks at each character once, as words with the same beginning share it."""
+    ends: dict[str, list[str]] = {}
+    for w in sorted(set(words) - {""}):
+        ends.setdefault(w[0], []).append(w[1:])
+    every = "|".join(re.escape(first) + _any_of(rest) for first, rest in ends.items())
+    return every and f"(?:{every})" + ("?" if "" in words else "")
+
+
 def _kept_words(normal: Column, stop: list[str]) -> Column:
     """The same from a normalised text, whose words single spaces part: what is dropped goes in one look at the text."""
-    gone = "|".join(["[0-9\u0660-\u0669\u06F0-\u06F9]+", "[^ ]", *(re.escape(w) for w in sorted(set(stop)) if w)])
+    gone = "|".join(["[0-9\u0660-\u0669\u06F0-\u06F9]+", "[^ ]", *filter(None, [_any_of(stop)])])
     return _words(F.rtrim(F.regexp_replace(normal, f"(?<![^ ])(?:{gone})(?: |$)", "")))
 
 

@@ -24,9 +24,11 @@ FIRST_LOOK = 1000
 #: Of the candidates found so, this many times k are scored exactly.
 FIRST_SCORED = 2
 #: Terms are looked up until no new candidate can reach this share of the bound: a few lists more, and far fewer pairs to score.
-DEEPER = 0.5
+DEEPER = 0.25
 #: A term of more ids than this leads to pairs only together with another such term.
 HEAVY = 1000
+#: List entries that are looked up for all anchors without bounds: with so few, each further step costs more than it spares.
+FULL_LOOK = 20_000_000
 #: Bounds are raised by this much, so that sums in another order do not lose a pair.
 SLACK = 1e-9
 
@@ -50,12 +52,12 @@ def numbered_terms(weights: DataFrame) -> DataFrame:
 
 
 def _exact(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """pairs (anchor, cand) with the numbers of the shared terms, the rarest first, and all figures of weighted_overlap."""
+    """pairs (anchor, cand) with all figures of weighted_overlap, raw and score."""
     met = pairs.join(right, "cand").join(left, "anchor")
     met = met.withColumn("shared", F.array_intersect("numbers", "names")).withColumn("k", F.size("shared").cast("long"))
     inter = F.aggregate("shared", F.lit(0.0), lambda s, x: s + F.element_at("weigh", x))
     met = met.withColumn("inter", inter).withColumn("recall", recall(F.col("inter"), F.col("base"))).withColumn("jaccard", jaccard(F.col("inter"), F.col("base"), F.col("other")))
-    return cross_scores(met).select("anchor", "cand", "shared", "k", "inter", "base", "other", "recall", "jaccard", "raw", "score")
+    return cross_scores(met).select("anchor", "cand", "k", "inter", "base", "other", "recall", "jaccard", "raw", "score")
 
 
 def _bound(inter: Column, k: Column, base: Column, other: Column) -> Column:
@@ -89,7 +91,8 @@ class TopOverlap:
         self.each = each.select("anchor", "base", "size", "place", F.col("x.numbers").alias("number"), F.col("x.ws").alias("w"))
 
     def thresholds(self) -> DataFrame:
-        """anchor, least: a lower bound of the k-th best score, for anchors that surely have k candidates."""
+        """anchor, least, bar: a k-th best candidate among some that are scored, so no better one than the true k-th best; for anchors that
+        surely have k candidates. least: its score, bar: what it has in the order of results (score, k, -cand)."""
         df = self.lists.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
         before = F.sum("df").over(Window.partitionBy("anchor").orderBy("place")) - F.col("df")
         first = self.each.join(df, "number").repartition(self.parts, "anchor").withColumn("before", before).where(F.col("before") < FIRST_LOOK)
@@ -98,8 +101,9 @@ class TopOverlap:
         met = met.groupBy("anchor", "cand").agg(F.sum("w").alias("inter"), F.count(F.lit(1)).alias("k"), F.first("base").alias("base"), F.first("other").alias("other"))
         raw = cross_scores.raw(jaccard(F.col("inter"), F.col("base"), F.col("other")), recall(F.col("inter"), F.col("base")), F.col("k"))
         best = top_k(met.withColumn("raw", raw), ["anchor"], [F.desc("raw"), F.asc("cand")], FIRST_SCORED * self.k).select("anchor", "cand")
-        order = [F.desc("score"), F.asc("cand")]
-        return top_k(_exact(best, self.left, self.right).select("anchor", "cand", "score"), ["anchor"], order, self.k).where(F.col("rank") == self.k).select("anchor", F.col("score").alias("least"))
+        order = [F.desc("score"), F.desc("k"), F.asc("cand")]
+        kth = top_k(_exact(best, self.left, self.right).select("anchor", "cand", "k", "score"), ["anchor"], order, self.k).where(F.col("rank") == self.k)
+        return kth.select("anchor", F.col("score").alias("least"), F.struct(F.col("score").alias("score"), F.col("k").alias("k"), (-F.col("cand")).alias("cand")).alias("bar"))
 
     def survivors(self) -> DataFrame:
         """anchor, cand: all pairs that can be among the best k."""
@@ -112,15 +116,34 @@ class TopOverlap:
         needed = rows.where(_bound(F.col("rest"), F.col("more"), F.col("base"), F.greatest(low, F.col("rest"))) >= DEEPER * F.col("least"))
         cell = Window.partitionBy("anchor", "class")
         needed = needed.withColumn("left", F.col("base") - F.sum("w").over(cell)).withColumn("count_left", F.col("size") - F.count(F.lit(1)).over(cell))
-        met = needed.select("anchor", "base", "least", "number", "class", "w", "left", "count_left").join(self.lists, ["number", "class"])
-        first = {c: F.first(c).alias(c) for c in ("base", "other", "least", "left", "count_left")}
-        met = met.groupBy("anchor", "cand").agg(F.sum("w").alias("inter"), F.count(F.lit(1)).alias("k"), *first.values())
-        may = _bound(F.col("inter") + F.col("left"), F.col("k") + F.col("count_left"), F.col("base"), F.col("other"))
-        return met.where(may >= F.col("least")).select("anchor", "cand")
+        met = needed.select("anchor", "base", "bar", "number", "class", "w", "left", "count_left").join(self.lists, ["number", "class"])
+        first = {c: F.first(c).alias(c) for c in ("base", "other", "bar", "left", "count_left")}
+        met = scratch(met.groupBy("anchor", "cand").agg(F.sum("w").alias("inter"), F.count(F.lit(1)).alias("k"), *first.values()))
+        # What has been looked up so far bounds from below too, and by more terms than the first look.
+        raw = cross_scores.raw(jaccard(F.col("inter"), F.col("base"), F.col("other")), recall(F.col("inter"), F.col("base")), F.col("k")) - SLACK
+        place = lambda score, k: F.struct(score.alias("score"), k.cast("long").alias("k"), (-F.col("cand")).alias("cand"))
+        kth = top_k(met.select("anchor", place(cross_scores.score(raw), F.col("k")).alias("sure")), ["anchor"], [F.desc("sure")], self.k).where(F.col("rank") == self.k).select("anchor", "sure")
+        most = F.col("k") + F.col("count_left")
+        may = place(_bound(F.col("inter") + F.col("left"), most, F.col("base"), F.col("other")), most)
+        bar = F.greatest("bar", "sure")
+        return met.join(kth, "anchor", "left").where(bar.isNull() | (may >= bar)).select("anchor", "cand")
+
+    def entries(self) -> int:
+        """List entries of all anchors' terms: how many rows make all pairs."""
+        df = self.lists.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
+        return self.each.join(df, "number").agg(F.sum("df")).first()[0] or 0
+
+    def pairs(self) -> DataFrame:
+        """anchor, cand with figures, raw and score: those that can be among the best k, or all where they are few."""
+        if self.entries() > FULL_LOOK:
+            return _exact(self.survivors(), self.left, self.right)
+        met = self.each.join(self.lists.select("number", "cand", "other"), "number")
+        met = met.groupBy("anchor", "cand").agg(F.sum("w").alias("inter"), F.count(F.lit(1)).alias("k"), F.first("base").alias("base"), F.first("other").alias("other"))
+        return cross_scores(met.withColumn("recall", recall(F.col("inter"), F.col("base"))).withColumn("jaccard", jaccard(F.col("inter"), F.col("base"), F.col("other"))))
 
     def best(self) -> DataFrame:
-        """anchor, cand, shared (numbers of terms, the rarest first), figures, raw, score, rank."""
-        return top_k(_exact(self.survivors(), self.left, self.right), ["anchor"], [F.desc("score"), F.desc("k"), F.asc("cand")], self.k)
+        """anchor, cand, figures, raw, score, rank."""
+        return top_k(self.pairs(), ["anchor"], [F.desc("score"), F.desc("k"), F.asc("cand")], self.k)
 
 
 def pairs_of_two(rows: DataFrame, weights: DataFrame, heavy: int = HEAVY) -> DataFrame:

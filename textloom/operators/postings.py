@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import trigrams
-from textloom.sources.sinks import shared_folder
+from textloom.sources.sinks import scratch, shared_folder
 
 #: Ids that one block spans.
 SPAN = 8192
@@ -43,27 +43,29 @@ def _bucket(c: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
-def _write(rows: DataFrame, key: str, rest: list[str], buckets: int, path: str) -> None:
-    """Folders by bucket, sorted; ranges, not keys, are dealt to tasks, so a frequent term's blocks are written by several."""
-    order = ["bucket", key, *rest]
-    dealt = rows.withColumn("bucket", _bucket(key, buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
+def _write(rows: DataFrame, key: str, rest: list[str], about: tuple[int, int], path: str) -> None:
+    """Folders by bucket, sorted. Where a bucket has several parts, a frequent term's blocks are dealt to all of them."""
+    buckets, parts = about
+    part = F.pmod(F.xxhash64(key, *(F.floor(F.col(c) / 1024) if c == "block" else c for c in rest)), F.lit(parts))
+    dealt = rows.withColumn("bucket", _bucket(key, buckets)).repartition(buckets * parts, "bucket", part).sortWithinPartitions("bucket", key, *rest)
     dealt.write.partitionBy("bucket").parquet(path)
 
 
 def build(term_rows: DataFrame, path: str) -> Postings:
     """Writes the index of (id, term), different terms of each id; ids are whole numbers, rows without id or term are left out."""
-    rows = term_rows.where("id is not null and term is not null").select(F.col("id").cast("long").alias("id"), F.col("term").cast("string").alias("term"))
+    rows = scratch(term_rows.where("id is not null and term is not null").select(F.col("id").cast("long").alias("id"), F.col("term").cast("string").alias("term")))
     lists = rows.withColumn("block", F.expr(f"(id - pmod(id, {SPAN}L)) div {SPAN}L")).groupBy("term", "block")
     lists = lists.agg(F.sort_array(F.collect_set((F.col("id") - F.col("block") * SPAN).cast("int"))).alias("offsets"))
     lists = lists.select("term", "block", F.size("offsets").alias("n"), "offsets")
     total = rows.count()
     buckets = max(8, min(MAX_BUCKETS, total // BUCKET_ROWS))
-    _write(lists, "term", ["block"], buckets, f"{path}/lists")
+    about = buckets, max(1, total // (buckets * BUCKET_ROWS))
+    _write(lists, "term", ["block"], about, f"{path}/lists")
     spark = rows.sparkSession
     terms = _read(spark, path, "lists").groupBy("term").agg(F.sum("n").alias("df"))
-    _write(terms, "term", [], buckets, f"{path}/terms")
+    _write(terms, "term", [], about, f"{path}/terms")
     grams = _read(spark, path, "terms").select(F.explode(F.array_distinct(trigrams(F.col("term")))).alias("gram"), "term")
-    _write(grams, "gram", ["term"], buckets, f"{path}/grams")
+    _write(grams, "gram", ["term"], about, f"{path}/grams")
     spark.createDataFrame([(buckets, total)], SCHEMAS["about"]).write.parquet(f"{path}/about")
     return Postings(spark, path)
 
