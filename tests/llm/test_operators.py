@@ -457,3 +457,17 @@ def test_license_scan_finds_wrapped_notices(spark):
         for k in range(3):
             assert (label, 1.0) in got[10 * i + k]
     assert got[500] == set() and {x for x, _ in got[501]} == {"gpl-3.0"} and got[502] == {("proprietary", 1.0)}
+
+
+def test_texts_of_a_repeated_or_missing_id_are_judged_one_by_one(spark):
+    a, b, c, d = (f"{x} " + x * 70 for x in ("some text", "quite another", "third thing", "last of all"))
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (9, d), (5, b), (None, None)]
+    got = sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in suffixes.repeated_passages(table(spark, rows)).collect())
+    assert got == sorted([(1, len(a), 0), (5, len(a), len(a)), (5, len(b), 0), (5, len(b), 0), (99, len(a), len(a)), (99, len(c), 0), (9, len(d), 0), (99, 0, 0)])
+
+
+def test_language_model_does_not_depend_on_the_order_of_rows(spark):
+    random.seed(44)
+    rows = [(i, " ".join(f"w{int(300 * random.random() ** 2)}" for _ in range(60))) for i in range(900)] + [(None, "no id"), (7, "again"), (7, "and again")]
+    score = lambda df: sorted((r.doc_id or -1, r.n_tokens, r.score) for r in language_model.score_texts(df).collect())
+    assert score(table(spark, rows).repartition(2)) == score(table(spark, rows[::-1]).repartition(7))
