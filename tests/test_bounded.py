@@ -23,10 +23,11 @@ def corpus(spark, n, first, vocabulary, longest, seed):
 COLUMNS = ["anchor", "cand", "k", "score", "rank"]
 
 
-@pytest.mark.parametrize("look, k, full", [(1000, 50, 0), (5, 4, 0), (1, 200, 0), (1000, 50, 10**9)])
-def test_best_equal_those_of_all_pairs(spark, monkeypatch, look, k, full):
+@pytest.mark.parametrize("look, k, full, small", [(1000, 50, 0, 0), (5, 4, 0, 10**6), (1, 200, 0, 0), (1000, 50, 10**9, 0)])
+def test_best_equal_those_of_all_pairs(spark, monkeypatch, look, k, full, small):
     monkeypatch.setattr(bounded, "FIRST_LOOK", look)
     monkeypatch.setattr(bounded, "FULL_LOOK", full)
+    monkeypatch.setattr(bounded, "SMALL_SIDE", small)
     a, c = corpus(spark, 25, 0, 300, 30, 1), corpus(spark, 400, 1000, 300, 60, 2).unionAll(corpus(spark, 60, 5000, 300, 5, 3))
     idf = index.idf_table(a.unionAll(c), 485).where("term <> 't7'")  # one has no weight
     want = overlap.lexical_cross_corpus(overlap.weighted_overlap(a, c, idf), k)

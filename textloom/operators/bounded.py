@@ -24,7 +24,9 @@ FIRST_LOOK = 1000
 #: Of the candidates found so, this many times k are scored exactly.
 FIRST_SCORED = 2
 #: Terms are looked up until no new candidate can reach this share of the bound: a few lists more, and far fewer pairs to score.
-DEEPER = 0.25
+DEEPER = 0.5
+#: Terms of all anchors, each in some forty classes at most, that go to all tasks instead of a shuffle of all that they meet.
+SMALL_SIDE = 20_000
 #: A term of more ids than this leads to pairs only together with another such term.
 HEAVY = 1000
 #: List entries that are looked up for all anchors without bounds: with so few, each further step costs more than it spares.
@@ -84,15 +86,19 @@ class TopOverlap:
         asked = anchors.select("term").distinct().withColumn("asked", F.lit(True))
         rows = candidates.select(F.col("id").alias("cand"), "term").join(known.join(asked, "term", "left"), "term", "left")
         self.right = scratch(rows.groupBy("cand").agg(F.collect_list(F.when(F.col("asked"), F.col("number"))).alias("names"), F.sum(F.coalesce("w", F.lit(1.0))).alias("other")))
-        self.lists = self.right.select("cand", "other", _class_of(F.col("other")).alias("class"), F.explode("names").alias("number"))
+        self.lists = self._lists(self.right)
+        self.terms = self.left.agg(F.sum(F.size("ws"))).first()[0] or 0
         # few rows become very many in the steps that follow, so they are dealt out in a number of parts that adaptive execution keeps
         self.parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         each = self.left.repartition(self.parts, "anchor").select("anchor", "base", F.size("ws").alias("size"), F.posexplode(F.arrays_zip("numbers", "ws")).alias("place", "x"))
         self.each = each.select("anchor", "base", "size", "place", F.col("x.numbers").alias("number"), F.col("x.ws").alias("w"))
 
+    def _lists(self, right: DataFrame) -> DataFrame:
+        return right.select("cand", "other", _class_of(F.col("other")).alias("class"), F.explode("names").alias("number"))
+
     def thresholds(self) -> DataFrame:
-        """anchor, least, bar: a k-th best candidate among some that are scored, so no better one than the true k-th best; for anchors that
-        surely have k candidates. least: its score, bar: what it has in the order of results (score, k, -cand)."""
+        """anchor, least, least_k, least_cand: score, k and -cand of the k-th best candidate among some that are scored, which is no better
+        than the true k-th best; for anchors that surely have k candidates."""
         df = self.lists.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
         before = F.sum("df").over(Window.partitionBy("anchor").orderBy("place")) - F.col("df")
         first = self.each.join(df, "number").repartition(self.parts, "anchor").withColumn("before", before).where(F.col("before") < FIRST_LOOK)
@@ -103,7 +109,7 @@ class TopOverlap:
         best = top_k(met.withColumn("raw", raw), ["anchor"], [F.desc("raw"), F.asc("cand")], FIRST_SCORED * self.k).select("anchor", "cand")
         order = [F.desc("score"), F.desc("k"), F.asc("cand")]
         kth = top_k(_exact(best, self.left, self.right).select("anchor", "cand", "k", "score"), ["anchor"], order, self.k).where(F.col("rank") == self.k)
-        return kth.select("anchor", F.col("score").alias("least"), F.struct(F.col("score").alias("score"), F.col("k").alias("k"), (-F.col("cand")).alias("cand")).alias("bar"))
+        return kth.select("anchor", F.col("score").alias("least"), F.col("k").alias("least_k"), (-F.col("cand")).alias("least_cand"))
 
     def survivors(self) -> DataFrame:
         """anchor, cand: all pairs that can be among the best k."""
@@ -116,17 +122,21 @@ class TopOverlap:
         needed = rows.where(_bound(F.col("rest"), F.col("more"), F.col("base"), F.greatest(low, F.col("rest"))) >= DEEPER * F.col("least"))
         cell = Window.partitionBy("anchor", "class")
         needed = needed.withColumn("left", F.col("base") - F.sum("w").over(cell)).withColumn("count_left", F.col("size") - F.count(F.lit(1)).over(cell))
-        met = needed.select("anchor", "base", "bar", "number", "class", "w", "left", "count_left").join(self.lists, ["number", "class"])
-        first = {c: F.first(c).alias(c) for c in ("base", "other", "bar", "left", "count_left")}
-        met = scratch(met.groupBy("anchor", "cand").agg(F.sum("w").alias("inter"), F.count(F.lit(1)).alias("k"), *first.values()))
+        needed = needed.select("anchor", "base", "least", "least_k", "least_cand", "number", "class", "w", "left", "count_left")
+        lists = self.lists
+        if self.terms <= SMALL_SIDE:  # then candidates stay where they are, and a pair's terms meet in one task without a shuffle of pairs
+            needed, lists = F.broadcast(needed), self._lists(self.right.repartition(self.parts, "cand"))
+        first = {c: F.first(c).alias(c) for c in ("base", "other", "least", "least_k", "least_cand", "left", "count_left")}
+        met = needed.join(lists, ["number", "class"]).groupBy("anchor", "cand").agg(F.sum("w").alias("inter"), F.count(F.lit(1)).alias("k"), *first.values())
+        most = F.col("k") + F.col("count_left")
+        place = lambda score, k, cand: F.struct(score.alias("score"), k.cast("long").alias("k"), cand.alias("cand"))
+        may = place(_bound(F.col("inter") + F.col("left"), most, F.col("base"), F.col("other")), most, -F.col("cand"))
         # What has been looked up so far bounds from below too, and by more terms than the first look.
         raw = cross_scores.raw(jaccard(F.col("inter"), F.col("base"), F.col("other")), recall(F.col("inter"), F.col("base")), F.col("k")) - SLACK
-        place = lambda score, k: F.struct(score.alias("score"), k.cast("long").alias("k"), (-F.col("cand")).alias("cand"))
-        kth = top_k(met.select("anchor", place(cross_scores.score(raw), F.col("k")).alias("sure")), ["anchor"], [F.desc("sure")], self.k).where(F.col("rank") == self.k).select("anchor", "sure")
-        most = F.col("k") + F.col("count_left")
-        may = place(_bound(F.col("inter") + F.col("left"), most, F.col("base"), F.col("other")), most)
-        bar = F.greatest("bar", "sure")
-        return met.join(kth, "anchor", "left").where(bar.isNull() | (may >= bar)).select("anchor", "cand")
+        met = met.where(may >= place(F.col("least"), F.coalesce("least_k", F.lit(0)), F.coalesce("least_cand", F.lit(0))))
+        met = scratch(met.select("anchor", "cand", may.alias("may"), place(cross_scores.score(raw), F.col("k"), -F.col("cand")).alias("sure")))
+        kth = top_k(met, ["anchor"], [F.desc("sure")], self.k).where(F.col("rank") == self.k).select("anchor", F.col("sure").alias("bar"))
+        return met.join(kth, "anchor", "left").where(F.col("bar").isNull() | (F.col("may") >= F.col("bar"))).select("anchor", "cand")
 
     def entries(self) -> int:
         """List entries of all anchors' terms: how many rows make all pairs."""
