@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import bounded, index, overlap, tfidf
+from textloom.operators import bounded, index, lemmas, overlap, tfidf
 from textloom.plans.catalogue import query
-from textloom.plans.tables import CORPORA_SQL, benchmark, cal, documents, mm, table, tokens_sql
+from textloom.plans.tables import CORPORA_SQL, STOP_SQL, benchmark, cal, documents, mm, table, tokens_sql
 from textloom.sources import sinks
 
 
@@ -185,6 +185,36 @@ def tfidf_pairs(spark, sf_dir):
     return dots.select(F.substring("anchor", 2, 20).cast("long").alias("anchor"), F.substring("cand", 2, 20).cast("long").alias("cand"), F.round("tfidf", 6).alias("tfidf"))
 
 
+LEMMAS_SQL = f"""
+dt AS ({tokens_sql("documents", "doc_id")}), v AS (SELECT DISTINCT unnest(tokens) AS term FROM dt), fm AS ({lemmas.forms_sql("v", lemmas.ENGLISH)}),
+lm AS (SELECT term, arg_min(lemma, rank) AS lemma FROM fm WHERE lemma <> term AND lemma IN (SELECT term FROM v) GROUP BY term),
+ea AS (SELECT id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM dt), el AS (SELECT id, pos, coalesce(lemma, ea.term) AS lemma FROM ea LEFT JOIN lm USING (term)),
+le AS (SELECT dt.id, coalesce(list_filter(l, lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({STOP_SQL})), []) AS lemmas FROM dt LEFT JOIN (SELECT id, list(lemma ORDER BY pos) AS l FROM el GROUP BY id) USING (id))"""
+
+
+def document_lemmas(spark, sf_dir) -> DataFrame:
+    docs = sinks.scratch(documents(spark, sf_dir))
+    return lemmas.lemmatised(docs, lemmas.lemma_map(docs.select(F.explode("tokens").alias("term"))))
+
+
+@query("lemma_texts", f"WITH {LEMMAS_SQL} SELECT id, CAST(len(lemmas) AS INTEGER) AS n, CAST(len(list_distinct(lemmas)) AS INTEGER) AS n_distinct, md5(array_to_string(lemmas, ' ')) AS said FROM le")
+def lemma_texts(spark, sf_dir):
+    return document_lemmas(spark, sf_dir).select("id", F.size("lemmas").alias("n"), F.size(F.array_distinct("lemmas")).alias("n_distinct"), F.md5("text").alias("said"))
+
+
+@query("lemma_tfidf", f"""
+WITH {LEMMAS_SQL}, n AS (SELECT count(*) AS n FROM le),
+g AS (SELECT id, unnest(list_concat(lemmas, CASE WHEN len(lemmas) >= 2 THEN list_transform(range(1, len(lemmas)), lambda i: lemmas[i] || ' ' || lemmas[i + 1]) ELSE [] END)) AS term FROM le),
+tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT n FROM n)),
+x AS (SELECT id, term, (1 + ln(CAST(tf AS DOUBLE))) * (1 + ln((1.0 + (SELECT n FROM n)) / (1.0 + df))) AS x FROM tf JOIN df USING (term)),
+w AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM x)
+SELECT id, count(*) AS n, round(sum(w), 4) AS total, round(max(w), 6) AS most FROM w GROUP BY id""")
+def lemma_tfidf(spark, sf_dir):
+    """Weights of lemmas and pairs of lemmas, from the lemma texts."""
+    docs = sinks.scratch(document_lemmas(spark, sf_dir).select("id", F.when(F.col("text") != "", F.split("text", " ")).otherwise(F.expr("cast(array() as array<string>)")).alias("tokens")))
+    return tfidf.tfidf(docs, docs.count()).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"), F.round(F.max("w"), 6).alias("most"))
+
+
 @query("min_score_filter", f"WITH {C4_SQL} SELECT anchor, count(*) AS n, count(*) FILTER (score >= 50) AS high FROM top WHERE score >= 25 GROUP BY anchor")
 def min_score_filter(spark, sf_dir):
     top = best_overlaps(spark, sf_dir).where("score >= 25")
