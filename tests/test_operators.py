@@ -113,6 +113,20 @@ def test_range_and_last_observation(spark):
     ]
 
 
+def test_long_groups_are_dealt_to_tasks(spark):
+    random.seed(6)
+    rows = [(g, n, random.choice(["", None, f"t{n}"]) if n % 7 == 0 else "") for g, size in ((1, 900), (2, 40), (None, 300), (4, 5)) for n in range(size)]
+    random.shuffle(rows)
+    seq = spark.createDataFrame(rows, "g int, n int, t string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = {long: sorted((tuple(r) for r in ranges.last_observation(seq, "g", "n", "t", long).select("g", "n", "found", "covers_from", "covers_to").collect()), key=key) for long in (10, 100, 10**6)}
+    want, last = [], {}
+    for g, n, t in sorted(rows, key=key):
+        last[g] = (t, n) if t else last.get(g, (None, None))
+        want.append((g, n, *last[g], n if last[g][0] else None))
+    assert got == dict.fromkeys((10, 100, 10**6), want)
+
+
 def test_relations(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert {(r.k, r.status) for r in relations.coverage(a, b, "k").collect()} == {(1, "missing"), (3, "extra")}

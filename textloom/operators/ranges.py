@@ -15,13 +15,39 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, key: str, width: int) -> Da
     return met.where((F.col(key) >= F.col("start")) & (F.col(key) <= F.col("end"))).drop("_block")
 
 
-def last_observation(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """rows with found, covers_from and covers_to: the value at the greatest position up to their own that has one. An empty text is none.
+#: A group of more rows than this is dealt to several tasks.
+LONG_GROUP = 100_000
 
-    A group is one sequence and its rows are sorted together; salt does not apply to a running value."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def carried(rows: DataFrame, group: str, order: str, values: dict[str, Column], long: int = LONG_GROUP) -> DataFrame:
+    """rows with, by name, the last value of each kind that is not null at the greatest position up to their own.
+
+    A group of up to ``long`` rows is one window. The rows of longer ones are dealt by ranges of positions: each range looks back within
+    itself, and what it begins with comes from the ranges before it, of which a group has one row each."""
+    own = lambda df, by: df.withColumns({n: F.last(v, ignorenulls=True).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for n, v in values.items()})
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long).select("_g")
+    from textloom.sources.sinks import scratch
+
+    sizes = scratch(sizes)
+    if sizes.isEmpty():
+        return own(rows, Window.partitionBy(group))
+    same = lambda df: df.join(sizes, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    short = rows.join(sizes, F.col(group).eqNullSafe(F.col("_g")), "left_anti")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch(same(rows).repartitionByRange(parts, group, order).withColumn("_p", F.spark_partition_id()))
+    at_end = {f"_last {n}": F.max_by(v, F.when(v.isNotNull(), F.col(order))) for n, v in values.items()}
+    ends = dealt.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(*[c.alias(n) for n, c in at_end.items()])
+    before = Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_g", "_q", *[F.last(n, ignorenulls=True).over(before).alias(n) for n in at_end])
+    met = own(dealt, Window.partitionBy("_p", group)).join(ends, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")), "left")
+    met = met.withColumns({n: F.coalesce(n, f"_last {n}") for n in values})
+    return own(short, Window.partitionBy(group)).unionByName(met.select(*rows.columns, *values))
+
+
+def last_observation(rows: DataFrame, group: str, order: str, value: str, long: int = LONG_GROUP) -> DataFrame:
+    """rows with found, covers_from and covers_to: the value at the greatest position up to their own that has one. An empty text is none."""
     v = F.nullif(F.col(value), F.lit(""))
-    out = rows.withColumn("found", F.last(v, ignorenulls=True).over(w)).withColumn("covers_from", F.last(F.when(v.isNotNull(), F.col(order)), ignorenulls=True).over(w))
+    out = carried(rows, group, order, {"found": v, "covers_from": F.when(v.isNotNull(), F.col(order))}, long)
     return out.withColumn("covers_to", F.when(F.col("found").isNotNull(), F.col(order)))
 
 

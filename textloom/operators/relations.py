@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.ids import group_of, number_of
+from textloom.operators.ranges import carried
 
 
 def filled(c: Column | str) -> Column:
@@ -126,4 +127,4 @@ def numeric_coerced(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def running_last(df: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
     """The last value that is not null, row by row."""
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return carried(df, group, order, {name: F.col(value)})
