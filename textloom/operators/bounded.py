@@ -30,7 +30,7 @@ SMALL_SIDE = 20_000
 #: A term of more ids than this leads to pairs only together with another such term.
 HEAVY = 1000
 #: List entries that are looked up for all anchors without bounds: with so few, each further step costs more than it spares.
-FULL_LOOK = 20_000_000
+FULL_LOOK = 5_000_000
 #: Bounds are raised by this much, so that sums in another order do not lose a pair.
 SLACK = 1e-9
 
