@@ -98,3 +98,24 @@ def test_worksheet(spark):
 
     got = readers.worksheet(spark, pd.DataFrame({"id": ["2:13", None, "total"], "w": ["a", "b", "c"]})).collect()
     assert [(r.group, r.number, r.w) for r in got] == [(2, 13, "a")]
+
+
+def test_a_store_keeps_a_record_of_every_item(spark, tmp_path):
+    store = sinks.ItemStore(spark, f"{tmp_path}/store")
+    put = lambda rows, **k: sorted((r.item, r.status) for r in store.put(spark.createDataFrame(rows, "item string, content string"), **k).collect())
+    assert put([("a", "one"), ("b", " "), ("c", None), ("d", "x"), ("d", "w")]) == [("a", "written"), ("b", "failed"), ("c", "failed"), ("d", "written")]
+    assert put([("a", "two"), ("b", "now")]) == [("a", "skipped"), ("b", "written")]
+    assert put([("a", "two")], force=True) == [("a", "written")]
+    assert sorted(map(tuple, store.items().collect())) == [("a", "two"), ("b", "now"), ("d", "w")]
+    assert sorted(map(tuple, store.counts().collect())) == [(1, 2, 0, 2), (2, 1, 1, 0), (3, 1, 0, 0)]
+
+
+def test_a_run_that_fails_leaves_what_was_there(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    assert sinks.write_idempotent(spark.range(3), path) == "written"
+    broken = spark.range(5).selectExpr("raise_error('no') AS id")
+    with pytest.raises(Exception, match="no"):
+        sinks.write_idempotent(broken, path, force=True)
+    assert spark.read.parquet(path).count() == 3
+    assert sinks.write_idempotent(spark.range(4), path, force=True) == "written" and spark.read.parquet(path).count() == 4
+    assert sinks.write_idempotent(spark.range(9), path) == "skipped" and spark.read.parquet(path).count() == 4

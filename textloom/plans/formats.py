@@ -136,6 +136,21 @@ def written_once(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(said)), "step int, status string")
 
 
+@query("item_batches", """
+WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS item, CASE WHEN trim(text) <> '' THEN text END AS content, lang = 'en' AS first FROM documents),
+b AS (SELECT 1 AS batch, item, CASE WHEN content IS NULL THEN 'failed' ELSE 'written' END AS status FROM i WHERE first
+  UNION ALL SELECT 2, item, CASE WHEN first AND content IS NOT NULL THEN 'skipped' WHEN content IS NULL THEN 'failed' ELSE 'written' END FROM i
+  UNION ALL SELECT 3, item, CASE WHEN content IS NULL THEN 'failed' ELSE 'written' END FROM i)
+SELECT batch, count(*) FILTER (status = 'written') AS written, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed FROM b GROUP BY batch""")
+def item_batches(spark, sf_dir):
+    """English documents go into a store, then all of them, then all by force: what each batch wrote, skipped and failed to write."""
+    store = sinks.ItemStore(spark, place(spark, "items"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("content"), "lang")
+    for rows, force in ((docs.where("lang = 'en'"), False), (docs, False), (docs, True)):
+        store.put(rows, force)
+    return store.counts()
+
+
 @query("numeric_strict", "SELECT c_custkey, CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS number FROM customer")
 def numeric_strict(spark, sf_dir):
     return relations.numeric_strict(table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract("c_name", "[0-9]+", 0).alias("number")), ["number"])

@@ -22,7 +22,7 @@ def frame(spark, rows: list):
 
 
 AR = ["إنَّمَا ٱلْأَعْمَالُ بِالنِّيَّاتِ", "قَالَ رَسُولُ ٱللَّهِ ﷺ", "رحمـــة، هؤلاء! شيئ", "آية 12 ١٢٣ abc", "", None, "على مسؤول", "ة ى"]
-AR_SQL = r"trim(regexp_replace(regexp_replace(translate(regexp_replace(coalesce(x, ''), '[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]', '', 'g'), 'أإآىؤئ', 'اااي' || 'ءء'), '[^\x{0600}-\x{06FF}0-9]', ' ', 'g'), ' +', ' ', 'g'))"
+AR_SQL = r"trim(regexp_replace(regexp_replace(translate(regexp_replace(coalesce(x, ''), '[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]', '', 'g'), 'أإآىؤئ', 'ااايءء'), '[^\x{0600}-\x{06FF}0-9]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 @query("norm_ar", f"SELECT i, {AR_SQL} AS y FROM {values(AR)}")
@@ -31,7 +31,7 @@ def norm_ar(spark, sf_dir):
 
 
 @query("norm_ar_mobile", rf"""
-SELECT i, trim(regexp_replace(translate(regexp_replace(coalesce(x, ''), '[\x{{064B}}-\x{{065F}}\x{{0670}}]', '', 'g'), 'آأإةى', 'ااا' || 'هي'), ' +', ' ', 'g')) AS y,
+SELECT i, trim(regexp_replace(translate(regexp_replace(coalesce(x, ''), '[\x{{064B}}-\x{{065F}}\x{{0670}}]', '', 'g'), 'آأإةى', 'اااهي'), ' +', ' ', 'g')) AS y,
  trim(translate(regexp_replace(coalesce(x, ''), '[\x{{064B}}-\x{{0670}}]', '', 'g'), 'آأإ', 'ااا')) AS z FROM {values(AR)}""")
 def norm_ar_mobile(spark, sf_dir):
     return frame(spark, AR).select("i", tx.normalize_ar_mobile("x").alias("y"), tx.normalize_ar_query("x").alias("z"))

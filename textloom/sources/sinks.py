@@ -65,18 +65,75 @@ def manifest(counts: dict[str, DataFrame], means: dict[str, tuple[str, Column]]
     return out.withColumns({k: F.lit(v) for k, v in facts.items()})
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function from names to its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def staged(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Writes df beside its place and moves it there whole, so that a run that is killed leaves what was there, or nothing."""
+    fs, at = _files(df.sparkSession, path)
+    draft, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("draft", "old"))
+    df.write.partitionBy(*partition_by or []).parquet(draft)
+    replaced = fs.exists(at(path))
+    if replaced and not fs.rename(at(path), at(old)) or not fs.rename(at(draft), at(path)):
+        raise OSError(f"{draft} could not become {path}")
+    if replaced:
+        fs.delete(at(old), True)
+
+
 def write_idempotent(df: DataFrame, path: str, force: bool = False, dry_run: bool = False) -> str:
-    """'written', 'skipped' (it is there and force is off) or 'planned' (dry run)."""
+    """'written', 'skipped' (it is there and force is off) or 'planned' (dry run). What is written appears whole."""
     from textloom.sources.readers import exists
 
     if exists(df.sparkSession, path) and not force:
         return "skipped"
     if dry_run:
         return "planned"
-    df.write.mode("overwrite").parquet(path)
+    staged(df, path)
     return "written"
 
 
+class ItemStore:
+    """Items by key in batches, each with a record of what became of every item. A batch is one folder that appears whole; of an item that
+    several batches wrote the last counts."""
+
+    SCHEMA = "item string, content string, status string, batch int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        fs, at = _files(spark, path)
+        fs.mkdirs(at(path))
+
+    def records(self) -> DataFrame:
+        """item, content (of written ones), status, batch: one row for each item of each batch."""
+        return self.spark.read.schema(self.SCHEMA).option("pathGlobFilter", "*.parquet").parquet(self.path)
+
+    def items(self) -> DataFrame:
+        """item, content: what is in the store."""
+        return self.records().where("status = 'written'").groupBy("item").agg(F.max_by("content", "batch").alias("content"))
+
+    def put(self, items: DataFrame, force: bool = False) -> DataFrame:
+        """Adds a batch of items (item, content) and returns its records. An item that is in the store is skipped unless ``force``; one whose
+        content is null or blank has failed; of an item that comes twice the least content is taken."""
+        fs, at = _files(self.spark, self.path)
+        batch = 1 + max((int(f.getPath().getName()[6:]) for f in fs.listStatus(at(self.path)) if f.getPath().getName().startswith("batch=")), default=0)
+        rows = items.groupBy(F.col("item").cast("string").alias("item")).agg(F.min(F.when(F.trim("content") != "", F.col("content"))).alias("content"))
+        there = self.items().select("item", F.lit(True).alias("there"))
+        rows = rows.join(there, "item", "left").withColumn("skip", F.coalesce("there", F.lit(False)) & F.lit(not force))
+        status = F.when(F.col("skip"), "skipped").when(F.col("content").isNull(), "failed").otherwise("written")
+        draft = f"{self.path}.draft-{uuid.uuid4().hex}"
+        rows.select("item", F.when(status == "written", F.col("content")).alias("content"), status.alias("status")).write.parquet(draft)
+        if not fs.rename(at(draft), at(f"{self.path}/batch={batch}")):
+            raise OSError(f"batch {batch} of {self.path} is there already")
+        return self.records().where(F.col("batch") == batch)
+
+    def counts(self) -> DataFrame:
+        """batch, written, skipped, failed."""
+        return self.records().groupBy("batch").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("written", "skipped", "failed")])
+
+
 def vector_table(records: DataFrame, vectors: dict[str, str], payload: list[str], path: str) -> None:
     """A table that stands for a collection: point_id, a vector column each, and a payload struct. It replaces what is there."""
     records.select("point_id", *[F.col(c).alias(name) for name, c in vectors.items()], F.struct(*payload).alias("payload")).write.mode("overwrite").parquet(path)
