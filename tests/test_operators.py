@@ -134,6 +134,16 @@ def test_relations(spark):
     assert {(r.k, r.v) for r in relations.merge_upsert(old, new, "k").collect()} == {(1, "a"), (2, None), (3, "c")}
 
 
+def test_editions_and_descriptions(spark):
+    rows = spark.createDataFrame([(1, "Book 12", "b"), (2, "no number", "b"), (3, "x 12", "c"), (4, "7", None)], "i int, ref string, book string")
+    editions = spark.createDataFrame([("b", 12, 1, "first"), ("b", 12, 3, " last "), ("b", 12, 4, "  "), ("c", 13, 1, "other"), (None, 7, 1, "none")], "book string, number int, position int, text string")
+    assert [(r.i, r.text) for r in relations.edition_join(rows, "ref", "book", editions).collect()] == [(1, "last")]
+    wanted = spark.createDataFrame([("k1", "s1", "L", "A", "en"), ("k2", "s2", "L2", "A2", "ur"), ("k3", "gone", "", "", "")], "key string, slug string, label string, author string, lang string")
+    remote = spark.createDataFrame([("s1", 5, "", None, "Urdu"), ("s2", 6, "Name", "Author", "klingon")], "slug string, id int, name string, author string, language string")
+    got = sorted(map(tuple, relations.described(wanted, remote, {"urdu": "ur"}).collect()))
+    assert got == [("k1", 5, "L", "A", "ur"), ("k2", 6, "Name", "Author", "ur")]
+
+
 def test_index_and_quality_on_empty_tables(spark):
     docs = spark.createDataFrame([], "id int, tokens array<string>")
     assert index.postings(index.terms(docs)).count() == 0 and index.trigram_index(index.terms(docs)).count() == 0

@@ -79,6 +79,12 @@ def shared_terms(pairs: DataFrame, anchors: DataFrame, candidates: DataFrame, we
     return both.groupBy("anchor", "cand").agg(F.transform(F.slice(F.sort_array(F.collect_list(order)), 1, n), lambda x: x["term"]).alias("shared"))
 
 
+def ranked_pairs(pairs: DataFrame) -> DataFrame:
+    """All pairs of each anchor in the order in which they are stored: shared roots, score, then the id."""
+    w = Window.partitionBy("anchor").orderBy(F.desc("k"), F.desc("score"), F.asc("cand"))
+    return pairs.withColumn("rank", F.row_number().over(w))
+
+
 def first_pairs(pairs: DataFrame, n: int = 20) -> DataFrame:
     """The first n pairs of each anchor by score; equal ones stay in the order of the list: shared roots, then the id."""
     return top_k(pairs, ["anchor"], [F.desc("score"), F.desc("k"), F.asc("cand")], n)

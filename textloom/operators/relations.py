@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.ids import group_of, number_of
+from textloom.functions.text import trailing_number
 from textloom.operators.ranges import carried
 
 
@@ -128,3 +129,23 @@ def numeric_coerced(df: DataFrame, columns: list[str]) -> DataFrame:
 def running_last(df: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
     """The last value that is not null, row by row."""
     return carried(df, group, order, {name: F.col(value)})
+
+
+def edition_join(rows: DataFrame, reference: str, book: str, editions: DataFrame) -> DataFrame:
+    """rows with ``text`` of the edition of their book that has the trailing number of their reference; others go.
+
+    editions: book, number, position, text. Of a number that a book has several times the last text counts, blank ones do not."""
+    texts = editions.where(F.trim("text") != "").groupBy(F.col("book").alias("_book"), F.col("number").cast("long").alias("_number")).agg(F.max_by(F.trim("text"), "position").alias("text"))
+    numbered = rows.withColumn("_ref", trailing_number(reference))
+    return numbered.join(texts, (F.col(book) == F.col("_book")) & (F.col("_ref") == F.col("_number"))).drop("_book", "_number", "_ref")
+
+
+def described(wanted: DataFrame, remote: DataFrame, languages: dict[str, str]) -> DataFrame:
+    """key, id, label, author, lang of wanted sources, from what a remote list says of their slug, or else from the configuration.
+
+    wanted: key, slug and label, author, lang as fallbacks. remote: slug, id, name, author, language. A slug that the list does not have
+    gives nothing; a language is named through ``languages``, and falls back if it is not there."""
+    known = remote.select("slug", "id", "name", F.col("author").alias("its_author"), F.lower(first_filled("language")).alias("language"))
+    met = wanted.join(known, "slug")
+    code = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair]) if languages else F.create_map().cast("map<string,string>")
+    return met.select("key", "id", first_filled("name", "label").alias("label"), first_filled("its_author", "author").alias("author"), F.coalesce(code[F.coalesce("language", F.lower("lang"))], F.col("lang")).alias("lang"))

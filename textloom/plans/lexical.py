@@ -131,6 +131,17 @@ def client_root_pairs(spark, sf_dir):
     return overlap.first_pairs(basket_pairs(spark, sf_dir)).select("anchor", "cand", "score", "rank")
 
 
+@query("root_pairs_ranked", f"""
+WITH b AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS term FROM lineitem), idf AS (SELECT term, 1 + ln((1.0 + (SELECT count(DISTINCT id) FROM b)) / (1.0 + count(*))) AS idf FROM b GROUP BY term),
+w AS (SELECT id, term, idf AS w FROM b JOIN idf USING (term)), s0 AS (SELECT id, sum(w) AS base FROM w GROUP BY id),
+p AS (SELECT x.id AS anchor, y.id AS cand, count(*) AS k, sum(x.w) AS inter FROM w x JOIN w y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2 HAVING count(*) >= 2),
+s AS (SELECT anchor, cand, k, inter / u.base AS recall, inter / (u.base + v.base - inter) AS jaccard FROM p JOIN s0 u ON u.id = anchor JOIN s0 v ON v.id = cand),
+c AS (SELECT anchor, cand, k, {cal(C3_RAW, 0.10, 0.92, 1.08)} AS score FROM s)
+SELECT anchor, cand, CAST(k AS BIGINT) AS k, score, CAST(row_number() OVER (PARTITION BY anchor ORDER BY k DESC, score DESC, cand) AS INTEGER) AS rank FROM c""")
+def root_pairs_ranked(spark, sf_dir):
+    return overlap.ranked_pairs(basket_pairs(spark, sf_dir)).select("anchor", "cand", "k", "score", "rank")
+
+
 ROOT = "substring({t}, 1, 3)"
 
 

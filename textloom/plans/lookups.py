@@ -206,6 +206,35 @@ def trailing_number_join(spark, sf_dir):
     return c.join(table(spark, sf_dir, "orders"), "o_orderkey").select("c_custkey", "o_orderkey")
 
 
+BOOKS = {"AUTOMOBILE": "O", "BUILDING": "F", "MACHINERY": "P"}
+BOOKS_SQL = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BOOKS.items()) + " END"
+
+
+@query("edition_join", f"""
+WITH e AS (SELECT o_orderstatus AS book, o_custkey AS number, arg_max(trim(o_orderpriority), o_orderkey) AS text FROM orders WHERE trim(o_orderpriority) <> '' GROUP BY 1, 2)
+SELECT c_custkey, text FROM customer JOIN e ON e.book = {BOOKS_SQL} AND e.number = CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT)""")
+def edition_join(spark, sf_dir):
+    """Customers' names end with a number, segments stand for mapped books, and orders for editions in which a number comes several times."""
+    book = F.create_map(*[F.lit(x) for pair in BOOKS.items() for x in pair])
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", book[F.col("c_mktsegment")].alias("book"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("book"), F.col("o_custkey").alias("number"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("text"))
+    return relations.edition_join(c, "c_name", "book", o).select("c_custkey", "text")
+
+
+@query("described_sources", """
+WITH r AS (SELECT lang AS slug, min(doc_id) AS id, CASE WHEN min(source) <> 'src0' THEN min(source) ELSE '' END AS name, CASE WHEN count(*) > 100 THEN max(source) END AS author, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE lang END AS language FROM documents GROUP BY lang),
+w AS (SELECT n_nationkey AS key, lower(substring(n_name, 1, 2)) AS slug, n_name AS label, 'author of ' || n_name AS author, 'xx' AS lang FROM nation UNION ALL SELECT 100, 'en', 'English texts', '', 'yy' UNION ALL SELECT 101, 'de', 'German texts', 'someone', 'zz')
+SELECT key, id, CASE WHEN name <> '' THEN name ELSE label END AS label, coalesce(nullif(r.author, ''), nullif(w.author, '')) AS author, CASE lower(language) WHEN 'english' THEN 'en' WHEN 'german' THEN 'de' WHEN 'fr' THEN 'fr' ELSE lang END AS lang FROM w JOIN r USING (slug)""")
+def described_sources(spark, sf_dir):
+    """What a list says of sources by their slugs, here languages of documents, with fallbacks from the configuration, here nations."""
+    d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("slug")).agg(F.min("doc_id").alias("id"), F.min("source").alias("low"), F.when(F.count(F.lit(1)) > 100, F.max("source")).alias("author"))
+    language = F.when(F.col("slug") == "en", "English").when(F.col("slug") == "de", "German").otherwise(F.col("slug"))
+    remote = d.select("slug", "id", F.when(F.col("low") != "src0", F.col("low")).otherwise("").alias("name"), "author", language.alias("language"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.lower(F.substring("n_name", 1, 2)).alias("slug"), F.col("n_name").alias("label"), F.concat(F.lit("author of "), "n_name").alias("author"), F.lit("xx").alias("lang"))
+    more = spark.createDataFrame([(100, "en", "English texts", "", "yy"), (101, "de", "German texts", "someone", "zz")], "key long, slug string, label string, author string, lang string")
+    return relations.described(n.unionByName(more), remote, {"english": "en", "german": "de", "fr": "fr"})
+
+
 # Quality
 
 
