@@ -136,7 +136,9 @@ class TopOverlap:
         met = met.where(may >= place(F.col("least"), F.coalesce("least_k", F.lit(0)), F.coalesce("least_cand", F.lit(0))))
         met = scratch(met.select("anchor", "cand", may.alias("may"), place(cross_scores.score(raw), F.col("k"), -F.col("cand")).alias("sure")))
         kth = top_k(met, ["anchor"], [F.desc("sure")], self.k).where(F.col("rank") == self.k).select("anchor", F.col("sure").alias("bar"))
-        return met.join(kth, "anchor", "left").where(F.col("bar").isNull() | (F.col("may") >= F.col("bar"))).select("anchor", "cand")
+        lowest = F.struct(F.lit(-1).alias("score"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("cand"))
+        bars = self.left.select("anchor").join(kth, "anchor", "left").select(F.col("anchor").alias("its"), F.coalesce("bar", lowest).alias("bar"))
+        return met.join(bars, (F.col("anchor") == F.col("its")) & (F.col("may") >= F.col("bar"))).select("anchor", "cand")
 
     def entries(self) -> int:
         """List entries of all anchors' terms: how many rows make all pairs."""
