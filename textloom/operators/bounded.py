@@ -24,7 +24,7 @@ FIRST_LOOK = 1000
 #: Of the candidates found so, this many times k are scored exactly.
 FIRST_SCORED = 2
 #: Terms are looked up until no new candidate can reach this share of the bound: a few lists more, and far fewer pairs to score.
-DEEPER = 0.5
+DEEPER = 0.25
 #: Terms of all anchors, each in some forty classes at most, that go to all tasks instead of a shuffle of all that they meet.
 SMALL_SIDE = 20_000
 #: A term of more ids than this leads to pairs only together with another such term.
