@@ -8,8 +8,12 @@ word two places before (skip), and both together. A word that all training texts
 Training is by distributed gradient updates: each chunk of documents goes through its training tokens in sparse numpy batches, moves
 the rows of weights that its features touch, and hands on these rows with the number of their updates; rows are averaged by these
 numbers over all chunks, as a tree, and a further round starts from the average. Every training text takes part in every round, and
-word counts, classes and rare words come from all of them. Within a class the probability is that of the class's own smoothed
-counts.
+word counts, classes and rare words come from all of them.
+
+Within a class a second softmax goes over all words of the class: a word's score is the logarithm of its smoothed count and, for each
+hashed feature of context and class (the word before, the word two places before), the weight of its slot. Slots are hashes of words;
+rare and unknown words have one together. The class's words enter the normaliser by the sums of their counts in each slot, which is exact, as
+words of a slot have the same weights. Both factors are trained in the same passes.
 
 Tokens are located and hashed by array steps over bytes; a word is known by two 64-bit hashes. A chunk's words travel as sorted arrays,
 one for each range of hashes, so a token that every document has costs an entry for each chunk; ranges are summed for CHUNKS_TOGETHER
@@ -37,6 +41,11 @@ SUFFIX = 2
 #: Rows of weights: for the word before, the word two places before, and both; 2^21 weights in all.
 BEFORE, SKIP, JOINT = 1 << 13, 1 << 13, 1 << 14
 ROWS = BEFORE + SKIP + JOINT
+#: Slots of words within a class (0: rare and unknown ones), and rows of their weights: for the word before and the class, and for the
+#: word two places before and the class; they stand behind those of classes.
+SLOTS = 16
+INSIDE = 1 << 14
+INSIDE_ROWS = 2 * INSIDE
 #: Rows that are summed together.
 ROW_BLOCK = 2048
 #: Tasks that sum a block side by side.
@@ -135,6 +144,12 @@ class _Tokens:
 
 WORDS = "range int, part int, chunk int, hashes binary, checks binary, counts binary, suffixes binary"
 _SUMS = "range int, part int, hashes binary, checks binary, counts binary, suffixes binary"
+_CELLS = "hash long, check long, total long, words long, cell int"
+
+
+def slots(hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The slot of each word within its class."""
+    return np.where(total < RARE, 0, 1 + (mix64(hashes + np.uint64(3)) % np.uint64(SLOTS - 1)).astype(np.int64))
 
 
 def _table(schema: str, rows: list[tuple]):
@@ -186,14 +201,16 @@ def _summed(table):
 
 
 def _of_range(table):
-    """The most frequent words of a range (word: hash and check, total, suffix) and what its classes have (total, words, suffix)."""
+    """The most frequent words of a range (word: hash and check, total, cell) and what its cells have (total, words, cell). A cell is a
+    slot of a class."""
     h, check, n, suffix = _unpacked(table)
     known = np.flatnonzero(n > 0)
     top = known[np.lexsort((check[known], h[known], -n[known]))[:SINGLE]]
-    rows = [(int(h[i].view(np.int64)), int(check[i].view(np.int64)), int(n[i]), 1, int(suffix[i])) for i in top]
-    tokens, words = np.bincount(suffix[known], n[known], CLASSES), np.bincount(suffix[known], minlength=CLASSES)
+    cell = suffix * SLOTS + slots(h, n)
+    rows = [(int(h[i].view(np.int64)), int(check[i].view(np.int64)), int(n[i]), 1, int(cell[i])) for i in top]
+    tokens, words = np.bincount(cell[known], n[known], CLASSES * SLOTS), np.bincount(cell[known], minlength=CLASSES * SLOTS)
     rows += [(None, None, int(tokens[k]), int(words[k]), k) for k in np.flatnonzero(words).tolist()]
-    return _table("hash long, check long, total long, words long, suffix int", rows)
+    return _table(_CELLS, rows)
 
 
 def _to_chunks(listed, sums):
@@ -221,8 +238,8 @@ def _aligned(t: _Tokens, totals, frequent: list[tuple[int, int]]) -> tuple[np.nd
     return klass, total
 
 
-def feature_rows(t: _Tokens, klass: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The rows of weights of every token's context: 3 by tokens. A text starts after END."""
+def feature_rows(t: _Tokens, klass: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of weights of every token's context: 3 by tokens for its class, 2 by tokens within it. A text starts after END."""
     name = np.where((total >= RARE) | (klass < SINGLE), t.hash, mix64(klass.astype(np.uint64) + np.uint64(0x1000)))
     name = name[t.tokens]
     before, second = np.empty_like(name), np.empty_like(name)
@@ -233,35 +250,60 @@ def feature_rows(t: _Tokens, klass: np.ndarray, total: np.ndarray) -> np.ndarray
     second[:1], second[1:] = end, before[:-1]
     second[first] = end
     a, b = mix64(before + np.uint64(1)), mix64(second + np.uint64(2))
-    return np.stack([a % np.uint64(BEFORE), BEFORE + b % np.uint64(SKIP), BEFORE + SKIP + mix64(a * np.uint64(3) + b) % np.uint64(JOINT)]).astype(np.int64)
+    own = mix64(klass.astype(np.uint64) + np.uint64(0x2000))[t.tokens]
+    inside = np.stack([mix64(a ^ own) % np.uint64(INSIDE), INSIDE + mix64(b ^ own) % np.uint64(INSIDE)]).astype(np.int64)
+    return np.stack([a % np.uint64(BEFORE), BEFORE + b % np.uint64(SKIP), BEFORE + SKIP + mix64(a * np.uint64(3) + b) % np.uint64(JOINT)]).astype(np.int64), inside
 
 
 def logits(bias: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    s = w[rows[0]]
-    s += w[rows[1]]
-    s += w[rows[2]]
+    s = w.take(rows[0], axis=0)
+    for r in rows[1:]:
+        s += w.take(r, axis=0)
     s += bias
     return np.clip(s, -40, 40, out=s)  # so that sums of exponentials stay finite
 
 
+def log_chosen(bias: np.ndarray, of: np.ndarray | None, w: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural log probability of what is chosen after each context. of: the row of ``bias`` for each context, if there are several."""
+    out = np.empty(len(chosen))
+    for low in range(0, len(chosen), BATCH):
+        own = slice(low, low + BATCH)
+        s = logits(bias if of is None else bias[of[own]], w, rows[:, own])
+        out[own] = s[np.arange(len(s)), chosen[own]]
+        out[own] -= np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype))
+    return out
+
+
+def log_inside(bias: np.ndarray, w: np.ndarray, rows: np.ndarray, klass: np.ndarray, slot: np.ndarray, smoothed: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token in its class: that of its slot, and the word's share of the slot's smoothed counts."""
+    return log_chosen(bias, klass, w, rows, slot) + np.log(smoothed) - bias[klass, slot]
+
+
+def cell_bias(tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Logarithms of the smoothed counts of each slot of each class; an unknown word counts as one more word of slot 0."""
+    n = (tokens + SMOOTH * words).reshape(CLASSES, SLOTS)
+    n[:, 0] += SMOOTH
+    return np.log(np.maximum(n, 1e-12)).astype(np.float32)
+
+
 def log_classes(bias: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log probabilities of all classes after each context."""
     s = logits(bias, w, rows)
     return s - np.log(np.exp(s) @ np.ones((CLASSES, 1), s.dtype))
 
 
-def updated(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, rows: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def updated(bias: np.ndarray, of: np.ndarray | None, w: np.ndarray, seen: np.ndarray, rows: np.ndarray, starts: tuple[int, ...], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights after one pass of gradient steps over tokens, batch by batch, and how often each row was touched.
 
-    seen: updates that each row has had before, which make its steps small."""
-    w, touched = w.copy(), np.zeros(ROWS, np.float32)
-    for low in range(0, len(klass), BATCH):
-        r, k = rows[:, low : low + BATCH], klass[low : low + BATCH]
-        g = logits(bias, w, r)
+    seen: updates that each row has had before, which make its steps small. starts: the first row of each feature. of: as in log_chosen."""
+    w, touched = w.copy(), np.zeros(len(w), np.float32)
+    for low in range(0, len(chosen), BATCH):
+        r, k = rows[:, low : low + BATCH], chosen[low : low + BATCH]
+        g = logits(bias if of is None else bias[of[low : low + BATCH]], w, r)
         np.exp(g, out=g)
-        g /= -(g @ np.ones((CLASSES, 1), np.float32))
+        g /= -(g @ np.ones((g.shape[1], 1), np.float32))
         g[np.arange(len(k)), k] += 1
-        for own, offset in zip(r, (0, BEFORE, BEFORE + SKIP), strict=True):
+        for own, offset in zip(r, starts, strict=True):
             order = np.argsort((own - offset).astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
             at = own[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -274,35 +316,43 @@ def updated(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, rows: np.ndarray,
 
 def _run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of the rows of g by runs of ``order``. Most runs are short: they are added up place by place, long ones by reduction."""
-    out = g[order[first]]
+    out = g.take(order[first], axis=0)
     for place in (1, 2):
         more = np.flatnonzero((n > place) & (n <= 3))
-        out[more] += g[order[first[more] + place]]
+        out[more] += g.take(order[first[more] + place], axis=0)
     long = np.flatnonzero(n > 3)
     if len(long):
         size = n[long].astype(np.int64)
         start = np.cumsum(size) - size
         at = np.arange(size.sum()) - np.repeat(start - first[long], size)
-        out[long] = np.add.reduceat(g[order[at]], start)
+        out[long] = np.add.reduceat(g.take(order[at], axis=0), start)
     return out
 
 
 def _chunk_updates(shared, folds: int, held_out: int):
+    """What the chunks of a part make of the weights, averaged over them: a part moves one table, however tasks are dealt."""
+
     def run(docs, counts):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        out = []
-        if docs.num_rows:
-            v = shared.value
-            t = _Tokens(docs)
-            klass, total = _aligned(t, counts, v["frequent"])
+        out, v = [], shared.value
+        for chunk in sorted(pc.unique(docs.column("chunk")).to_pylist()):
+            t = _Tokens(docs.filter(pc.equal(docs.column("chunk"), chunk)))
+            klass, total = _aligned(t, counts.filter(pc.equal(counts.column("chunk"), chunk)), v["frequent"])
             use = t.of_training(folds, held_out)
-            w, touched = updated(v["bias"], v["weights"], v["seen"], feature_rows(t, klass, total)[:, use], klass[t.tokens][use])
-            for b in range(ROWS // ROW_BLOCK) if use.any() else ():
-                own = slice(b * ROW_BLOCK, (b + 1) * ROW_BLOCK)
-                at = np.flatnonzero(touched[own])
-                out.append((b, at.astype(np.uint16).tobytes(), touched[own][at].tobytes(), w[own][at].astype(np.float16).tobytes(), docs.column("chunk")[0].as_py()))
-        return _packed(out)
+            rows, inside = feature_rows(t, klass, total)
+            chosen = klass[t.tokens]
+            both = [updated(v["bias"], None, v["weights"], v["seen"], rows[:, use], (0, BEFORE, BEFORE + SKIP), chosen[use])]
+            use &= chosen >= SINGLE  # a frequent token is its class
+            both.append(updated(v["cells"], chosen[use], v["inside"], v["seen_inside"], inside[:, use], (0, INSIDE), slots(t.hash, total)[t.tokens][use]))
+            for first, (w, touched) in zip((0, ROWS // ROW_BLOCK), both, strict=True):
+                for b in range(len(w) // ROW_BLOCK) if touched.any() else ():
+                    own = slice(b * ROW_BLOCK, (b + 1) * ROW_BLOCK)
+                    at = np.flatnonzero(touched[own])
+                    out.append((first + b, at.astype(np.uint16).tobytes(), touched[own][at].tobytes(), w[own][at].astype(np.float16).tobytes(), chunk))
+        made = _packed(out)
+        return pa.Table.from_batches(_average(made.to_batches()), made.schema)
 
     return run
 
@@ -318,6 +368,10 @@ def _packed(out: list[tuple]):
     return pa.table({"block": pa.array(c[0], pa.int32()), "rows": pa.array(c[1], pa.binary()), "touched": pa.array(c[2], pa.binary()), "weights": pa.array(c[3], pa.binary()), "source": pa.array(c[4], pa.int32())})
 
 
+def _width(block: int) -> int:
+    return CLASSES if block < ROWS // ROW_BLOCK else SLOTS
+
+
 def _average(batches):
     """Averages the rows of weights that a task reads, by block, each with the number of its updates, in the order of their sources."""
     first = None
@@ -325,10 +379,10 @@ def _average(batches):
     for b in batches:
         for block, rows, touched, weights, source in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
             first = source if first is None else min(first, source)
-            n, x = total.setdefault(block, (np.zeros(ROW_BLOCK), np.zeros((ROW_BLOCK, CLASSES))))
+            n, x = total.setdefault(block, (np.zeros(ROW_BLOCK), np.zeros((ROW_BLOCK, _width(block)))))
             at, own = np.frombuffer(rows, np.uint16), np.frombuffer(touched, np.float32).astype(float)
             n[at] += own
-            x[at] += np.frombuffer(weights, np.float16).reshape(-1, CLASSES).astype(float) * own[:, None]
+            x[at] += np.frombuffer(weights, np.float16).reshape(-1, _width(block)).astype(float) * own[:, None]
     for block, (n, x) in total.items():
         at = np.flatnonzero(n)
         mean = x[at] / n[at, None]
@@ -339,26 +393,30 @@ def averaged(partial: DataFrame) -> DataFrame:
     """The average of all chunks' weights by block, as a tree: tasks average what they have made, then FAN tasks for each block, then one,
     so that what the last ones read does not grow with the number of chunks beyond FAN rows a block. Chunks are dealt to a fixed number of
     tasks and every sum goes by their numbers, so the same documents give the same weights, however they came."""
-    blocks = ROWS // ROW_BLOCK
+    blocks = (ROWS + INSIDE_ROWS) // ROW_BLOCK
     own = partial.mapInArrow(_average, BLOCKS)
     fans = own.repartition(blocks * FAN, "block", F.pmod("source", F.lit(FAN))).sortWithinPartitions("block", "source").mapInArrow(_average, BLOCKS)
     return fans.repartition(blocks, "block").sortWithinPartitions("block", "source").mapInArrow(_average, BLOCKS)
 
 
-def train(dealt: DataFrame, totals: DataFrame, bias: np.ndarray, frequent: list[tuple[int, int]], folds: int, held_out: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` passes over all training texts. The driver holds one table of them (8 MB)."""
+def train(chunked: DataFrame, parts: int, totals: DataFrame, bias: np.ndarray, cells: np.ndarray, frequent: list[tuple[int, int]], folds: int, held_out: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and within classes after ``rounds`` passes over all training texts. The driver holds one table of each (8 and 2 MB)."""
     weights, seen = np.zeros((ROWS, CLASSES), np.float32), np.zeros(ROWS, np.float32)
+    inside, seen_inside = np.zeros((INSIDE_ROWS, SLOTS), np.float32), np.zeros(INSIDE_ROWS, np.float32)
+    part = F.pmod("chunk", F.lit(parts)).alias("part")
+    dealt = chunked.select(part, "*").repartition(parts, "part")
     for _ in range(rounds):
-        shared = dealt.sparkSession.sparkContext.broadcast({"bias": bias, "weights": weights, "seen": seen, "frequent": frequent})
-        partial = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_chunk_updates(shared, folds, held_out), BLOCKS)
+        shared = chunked.sparkSession.sparkContext.broadcast({"bias": bias, "cells": cells, "weights": weights, "seen": seen, "inside": inside, "seen_inside": seen_inside, "frequent": frequent})
+        partial = dealt.groupBy("part").cogroup(totals.select(part, "*").groupBy("part")).applyInArrow(_chunk_updates(shared, folds, held_out), BLOCKS)
         mean = materialise(averaged(partial), "class-weights")
-        weights, seen = weights.copy(), seen.copy()
+        weights, seen, inside, seen_inside = weights.copy(), seen.copy(), inside.copy(), seen_inside.copy()
         for r in mean.toLocalIterator():
-            at = r["block"] * ROW_BLOCK + np.frombuffer(r["rows"], np.uint16).astype(np.int64)
-            weights[at] = np.frombuffer(r["weights"], np.float16).reshape(-1, CLASSES)
-            seen[at] += np.frombuffer(r["touched"], np.float32)
+            w, n, first = (weights, seen, 0) if r["block"] < ROWS // ROW_BLOCK else (inside, seen_inside, ROWS // ROW_BLOCK)
+            at = (r["block"] - first) * ROW_BLOCK + np.frombuffer(r["rows"], np.uint16).astype(np.int64)
+            w[at] = np.frombuffer(r["weights"], np.float16).reshape(-1, w.shape[1])
+            n[at] += np.frombuffer(r["touched"], np.float32)
         discard(mean)
-    return weights
+    return weights, inside
 
 
 def _chunk_scores(shared):
@@ -372,13 +430,12 @@ def _chunk_scores(shared):
         t = _Tokens(docs)
         klass, total = _aligned(t, counts, v["frequent"])
         base = np.log10((total + SMOOTH) / (v["tokens"] + SMOOTH * (v["words"] + 1)))
-        inside = np.where(klass < SINGLE, 0.0, np.log10((total + SMOOTH) / (v["class_tokens"][klass] + SMOOTH * (v["class_words"][klass] + 1))))
-        chosen, rows = klass[t.tokens], feature_rows(t, klass, total)
-        score = inside[t.tokens]
-        for low in range(0, len(chosen), BATCH):
-            own = slice(low, low + BATCH)
-            s = logits(v["bias"], v["weights"], rows[:, own])
-            score[own] += (s[np.arange(len(s)), chosen[own]] - np.log(np.exp(s) @ np.ones(CLASSES, np.float32))) / math.log(10)
+        chosen, (rows, inside) = klass[t.tokens], feature_rows(t, klass, total)
+        score = log_chosen(v["bias"], None, v["weights"], rows, chosen)
+        several = np.flatnonzero(chosen >= SINGLE)  # a frequent token is its class
+        word = t.tokens[several]
+        score[several] += log_inside(v["cells"], v["inside"], inside[:, several], chosen[several], slots(t.hash, total)[word], total[word] + SMOOTH)
+        score /= math.log(10)
         first = np.cumsum(t.size) - t.size
         add = lambda x: np.add.reduceat(x, first)  # noqa: E731  no text is without a token
         columns = [t.ids, t.size, add((total[t.tokens] > 0).astype(np.int64)), add(base[t.tokens]), add(score)]
@@ -400,7 +457,7 @@ def word_totals(dealt: DataFrame, chunks: int, folds: int, held_out: int, togeth
     key = ("range", "part")
     totals = listed.select("range", "part", "chunk", "hashes", "checks").groupBy(*key).cogroup(every.groupBy(*key)).applyInArrow(_to_chunks, "chunk int, range int, totals binary")
     totals = materialise(totals, "chunk-totals")
-    found = materialise(sums.groupBy("range").applyInArrow(_of_range, "hash long, check long, total long, words long, suffix int"), "range-classes")
+    found = materialise(sums.groupBy("range").applyInArrow(_of_range, _CELLS), "range-classes")
     discard(listed, sums)
     return totals, found
 
@@ -410,22 +467,25 @@ def score_texts(docs: DataFrame, folds: int = 10, held_out: int = 0, rounds: int
     spark = docs.sparkSession
     docs = id_and_text(docs)
     chunks = chunk_count(docs)
-    dealt = docs.select(chunk_of(F.col("doc_id"), chunks).alias("chunk"), "doc_id", "text").repartition(-(-chunks // CHUNKS_A_TASK), "chunk")
+    parts = -(-chunks // CHUNKS_A_TASK)
+    chunked = docs.select(chunk_of(F.col("doc_id"), chunks).alias("chunk"), "doc_id", "text")
+    dealt = chunked.repartition(parts, "chunk")
     totals, found = word_totals(dealt, chunks, folds, held_out, together)
-    # A frequent token's class is its rank; the others' sums by class are CLASSES rows.
+    # A frequent token's class is its rank; the others' sums by cell are CLASSES x SLOTS rows.
     top = found.where("hash is not null").orderBy(F.desc("total"), "hash", "check").limit(SINGLE).collect()
     frequent = [(r["hash"], r["check"]) for r in top]
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in found.where("hash is null").groupBy("suffix").agg(F.sum("total").alias("tokens"), F.sum("words").alias("words")).collect():
-        class_tokens[r["suffix"]], class_words[r["suffix"]] = r["tokens"], r["words"]
+    cell_tokens, cell_words = np.zeros(CLASSES * SLOTS), np.zeros(CLASSES * SLOTS)
+    for r in found.where("hash is null").groupBy("cell").agg(F.sum("total").alias("tokens"), F.sum("words").alias("words")).collect():
+        cell_tokens[r["cell"]], cell_words[r["cell"]] = r["tokens"], r["words"]
     for rank, r in enumerate(top):
-        class_tokens[r["suffix"]] -= r["total"]
-        class_words[r["suffix"]] -= 1
-        class_tokens[rank], class_words[rank] = r["total"], 1
-    tokens, words = int(class_tokens.sum()), int(class_words.sum())
-    bias = np.log((class_tokens + SMOOTH) / (tokens + SMOOTH * CLASSES)).astype(np.float32)
-    weights = train(dealt, totals, bias, frequent, folds, held_out, rounds)
-    shared = spark.sparkContext.broadcast({"bias": bias, "weights": weights, "tokens": tokens, "words": words, "class_tokens": class_tokens, "class_words": class_words, "frequent": frequent})
+        cell_tokens[r["cell"]] -= r["total"]
+        cell_words[r["cell"]] -= 1
+        cell_tokens[rank * SLOTS], cell_words[rank * SLOTS] = r["total"], 1
+    tokens, words = int(cell_tokens.sum()), int(cell_words.sum())
+    bias = np.log((cell_tokens.reshape(CLASSES, SLOTS).sum(1) + SMOOTH) / (tokens + SMOOTH * CLASSES)).astype(np.float32)
+    cells = cell_bias(cell_tokens, cell_words)
+    weights, inside = train(chunked, parts, totals, bias, cells, frequent, folds, held_out, rounds)
+    shared = spark.sparkContext.broadcast({"bias": bias, "cells": cells, "weights": weights, "inside": inside, "tokens": tokens, "words": words, "frequent": frequent})
     scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_chunk_scores(shared), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
