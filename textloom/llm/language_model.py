@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import LOWER, chunk_count, chunk_of, crc_mod, crc_mod_col, discard, id_and_text, materialise, mix64, read_table, run_bounds, text_bytes
+from textloom.llm.common import LOWER, WHITE, chunk_count, chunk_of, crc_mod, crc_mod_col, discard, id_and_text, materialise, mix64, read_table, run_bounds, text_bytes
 
 #: Classes, and how many of them hold a single frequent token.
 CLASSES, SINGLE = 64, 24
@@ -63,10 +63,10 @@ CHUNKS_A_RANGE, CHUNKS_TOGETHER = 8, 4096
 _END = (np.uint64(0x5851F42D4C957F2D), np.uint64(0))
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _TABLES = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(x)) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_BLANK = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
-_LOWER = np.frombuffer(LOWER, np.uint8)
+#: bytes.translate table: 1 for bytes of words, 0 for blanks.
+_IN_WORD = bytes(b not in WHITE for b in range(256))
 #: Bytes that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -104,11 +104,24 @@ def suffix_classes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 def located(texts: list[bytes]):
     """Bytes of all texts in lower case, a blank behind each, and where their words and the texts start and end."""
-    raw = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-    word = np.zeros(len(raw) + 2, np.int8)
-    word[1:-1] = ~_BLANK[raw]
-    edge = np.diff(word)
-    return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    joined = b" ".join([*texts, b""]).translate(LOWER)
+    word = np.frombuffer(b"\0" + joined.translate(_IN_WORD) + b"\0", np.uint8)
+    edge = np.flatnonzero(word[1:] != word[:-1])  # of words, first and last in turn
+    return np.frombuffer(joined, np.uint8), edge[::2], edge[1::2], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+
+
+def vocabulary(raw: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """The different words among raw[start:end], as bytes one after the other with the bounds of each, and the number of every word."""
+    import pyarrow as pa
+
+    bounds = np.concatenate([[0], np.cumsum(end - start)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(raw.tobytes().translate(None, WHITE))])
+    found = words.dictionary_encode()
+    offsets = np.zeros(1, np.int64)
+    if len(found.dictionary):
+        offsets = np.frombuffer(found.dictionary.buffers()[1], np.int64)[: len(found.dictionary) + 1]
+    spelt = np.frombuffer(found.dictionary.buffers()[2] or b"", np.uint8)
+    return spelt, offsets, found.indices.to_numpy()
 
 
 class _Tokens:
@@ -121,22 +134,20 @@ class _Tokens:
         raw, start, end, stop = located(text_bytes(table.column("text")))
         of = np.searchsorted(stop, start, side="right")
         self.size = np.bincount(of, minlength=len(stop)).astype(np.int64) + 1
+        spelt, bounds, number = vocabulary(raw, start, end)
+        low, high = bounds[:-1], bounds[1:]
+        every, check = (np.append(word_hashes(spelt, low, high, i), _END[i]) for i in (0, 1))  # each word is hashed once
+        order = np.argsort(every, kind="stable")
+        if (every[order[1:]] == every[order[:-1]]).any():  # two words have the same first hash
+            order = np.lexsort((check, every))
+        self.hash, self.check = every[order], check[order]
+        self.suffix = np.append(suffix_classes(spelt, low, high), SINGLE)[order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
         inside = np.ones(len(start) + len(stop), bool)
         inside[np.cumsum(self.size) - 1] = False
-        every, check = np.full(len(inside), _END[0]), np.full(len(inside), _END[1])
-        every[inside], check[inside] = word_hashes(raw, start, end, 0), word_hashes(raw, start, end, 1)
-        self.hash, first, self.tokens = np.unique(every, return_index=True, return_inverse=True)
-        self.check = check[first]
-        if (self.check[self.tokens] != check).any():  # two words have the same first hash
-            order = np.lexsort((check, every))
-            bounds = run_bounds(every[order], check[order])
-            first = order[bounds[:-1]]
-            self.tokens[order] = np.repeat(np.arange(len(first)), np.diff(bounds))
-            self.hash, self.check = every[first], check[first]
-        word = np.cumsum(inside) - 1  # of a token that is a word
-        self.suffix = np.full(len(first), SINGLE)
-        own = np.flatnonzero(inside[first])
-        self.suffix[own] = suffix_classes(raw, start[word[first[own]]], end[word[first[own]]])
+        self.tokens = np.full(len(inside), place[-1])
+        self.tokens[inside] = place[number]
 
     def of_training(self, folds: int, held_out: int) -> np.ndarray:
         return np.repeat(np.array([i is not None and crc_mod(i, folds) != held_out for i in self.ids], bool), self.size)
@@ -241,36 +252,43 @@ def _aligned(t: _Tokens, totals, frequent: list[tuple[int, int]]) -> tuple[np.nd
 def feature_rows(t: _Tokens, klass: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of weights of every token's context: 3 by tokens for its class, 2 by tokens within it. A text starts after END."""
     name = np.where((total >= RARE) | (klass < SINGLE), t.hash, mix64(klass.astype(np.uint64) + np.uint64(0x1000)))
-    name = name[t.tokens]
-    before, second = np.empty_like(name), np.empty_like(name)
-    end = _END[0]
-    before[:1], before[1:] = end, name[:-1]
     first = np.cumsum(t.size) - t.size
-    before[first] = end
-    second[:1], second[1:] = end, before[:-1]
-    second[first] = end
-    a, b = mix64(before + np.uint64(1)), mix64(second + np.uint64(2))
+    far = [mix64(np.append(name, _END[0]) + np.uint64(i)) for i in (1, 2)]  # mixed once for each word; END stands last
+    at = np.empty_like(t.tokens)
+    at[:1], at[1:] = len(name), t.tokens[:-1]
+    at[first] = len(name)
+    a = far[0][at]
+    at[1:] = at[:-1].copy()
+    at[first] = len(name)
+    b = far[1][at]
     own = mix64(klass.astype(np.uint64) + np.uint64(0x2000))[t.tokens]
-    inside = np.stack([mix64(a ^ own) % np.uint64(INSIDE), INSIDE + mix64(b ^ own) % np.uint64(INSIDE)]).astype(np.int64)
-    return np.stack([a % np.uint64(BEFORE), BEFORE + b % np.uint64(SKIP), BEFORE + SKIP + mix64(a * np.uint64(3) + b) % np.uint64(JOINT)]).astype(np.int64), inside
-
-
-def logits(bias: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    s = w.take(rows[0], axis=0)
+    # All numbers of rows are powers of two.
+    rows, inside = np.empty((3, len(a)), np.int64), np.empty((2, len(a)), np.int64)
+    for x, h, size, low in ((rows[0], a, BEFORE, 0), (rows[1], b, SKIP, BEFORE), (rows[2], mix64(a * np.uint64(3) + b), JOINT, BEFORE + SKIP), (inside[0], mix64(a ^ own), INSIDE, 0), (inside[1], mix64(b ^ own), INSIDE, INSIDE)):
+        np.add(h & np.uint64(size - 1), np.uint64(low), out=x, casting="unsafe")
+    return rows, inside
+
+
+def logits(bias: np.ndarray, of: np.ndarray | None, w: np.ndarray, rows: np.ndarray, out: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Scores of all choices after each context, in ``out``; ``room`` is as large. of: the row of ``bias`` for each context, if there are
+    several. Rows are in range; with mode="clip" numpy writes them to their place without a copy."""
+    out, room = out[: rows.shape[1]], room[: rows.shape[1]]
+    w.take(rows[0], axis=0, out=out, mode="clip")
     for r in rows[1:]:
-        s += w.take(r, axis=0)
-    s += bias
-    return np.clip(s, -40, 40, out=s)  # so that sums of exponentials stay finite
+        out += w.take(r, axis=0, out=room, mode="clip")
+    out += bias if of is None else bias.take(of, axis=0, out=room, mode="clip")
+    return np.clip(out, -40, 40, out=out)  # so that sums of exponentials stay finite
 
 
 def log_chosen(bias: np.ndarray, of: np.ndarray | None, w: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Natural log probability of what is chosen after each context. of: the row of ``bias`` for each context, if there are several."""
-    out = np.empty(len(chosen))
+    """Natural log probability of what is chosen after each context. of: as in logits."""
+    out, ones = np.empty(len(chosen)), np.ones(w.shape[1], w.dtype)
+    scores, room = (np.empty((BATCH, w.shape[1]), w.dtype) for _ in range(2))
     for low in range(0, len(chosen), BATCH):
         own = slice(low, low + BATCH)
-        s = logits(bias if of is None else bias[of[own]], w, rows[:, own])
+        s = logits(bias, None if of is None else of[own], w, rows[:, own], scores, room)
         out[own] = s[np.arange(len(s)), chosen[own]]
-        out[own] -= np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype))
+        out[own] -= np.log(np.exp(s, out=s) @ ones)
     return out
 
 
@@ -288,44 +306,59 @@ def cell_bias(tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def log_classes(bias: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log probabilities of all classes after each context."""
-    s = logits(bias, w, rows)
+    s = logits(bias, None, w, rows, *(np.empty((rows.shape[1], CLASSES), w.dtype) for _ in range(2)))
     return s - np.log(np.exp(s) @ np.ones((CLASSES, 1), s.dtype))
 
 
-def updated(bias: np.ndarray, of: np.ndarray | None, w: np.ndarray, seen: np.ndarray, rows: np.ndarray, starts: tuple[int, ...], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def updated(bias: np.ndarray, of: np.ndarray | None, w: np.ndarray, seen: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights after one pass of gradient steps over tokens, batch by batch, and how often each row was touched.
 
-    seen: updates that each row has had before, which make its steps small. starts: the first row of each feature. of: as in log_chosen."""
+    seen: updates that each row has had before, which make its steps small. of: as in logits. Features have rows of their own, so those
+    of all features are moved together; there are at most 2^16, as numbers of 16 bits are sorted by counting."""
     w, touched = w.copy(), np.zeros(len(w), np.float32)
+    width = w.shape[1]
+    whole = w.view(f"V{w.itemsize * width}").ravel()  # a row of weights as one item, which is written at once
+    short, ones = rows.astype(np.uint16), np.ones((width, 1), np.float32)
+    gradient, room, sums = (np.empty((n * BATCH, width), np.float32) for n in (1, 1, len(rows)))
+    hit = np.arange(len(chosen)) % BATCH * width + chosen
     for low in range(0, len(chosen), BATCH):
-        r, k = rows[:, low : low + BATCH], chosen[low : low + BATCH]
-        g = logits(bias if of is None else bias[of[low : low + BATCH]], w, r)
+        own = slice(low, low + BATCH)
+        g = logits(bias, None if of is None else of[own], w, rows[:, own], gradient, room)
         np.exp(g, out=g)
-        g /= -(g @ np.ones((g.shape[1], 1), np.float32))
-        g[np.arange(len(k)), k] += 1
-        for own, offset in zip(r, starts, strict=True):
-            order = np.argsort((own - offset).astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
-            at = own[order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            row, n = at[first], np.diff(np.append(first, len(at))).astype(np.float32)
-            touched[row] += n
-            step = RATE / (n + np.sqrt(n * (seen[row] + touched[row])) + 1)
-            w[row] += _run_sums(g, order, first, n) * step[:, None]
+        g /= -(g @ ones)
+        g.ravel()[hit[own]] += 1
+        flat = short[:, own].ravel()
+        order = np.argsort(flat, kind="stable")
+        at = flat[order]
+        bounds = run_bounds(at)
+        first, n = bounds[:-1], bounds[1:] - bounds[:-1]
+        row = at[first].astype(np.int64)
+        order %= len(g)  # the token, whatever the feature
+        times = n.astype(np.float32)
+        touched[row] += times
+        step = RATE / (times + np.sqrt(times * (seen[row] + touched[row])) + 1)
+        moved = _run_sums(g, order, first, n, sums)
+        moved *= step[:, None]
+        moved += w.take(row, axis=0)
+        whole[row] = moved.view(whole.dtype).ravel()
     return w, touched
 
 
-def _run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of the rows of g by runs of ``order``. Most runs are short: they are added up place by place, long ones by reduction."""
-    out = g.take(order[first], axis=0)
+def _run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sums of the rows of g by runs of ``order``, in ``out``. Most runs are of one, and short ones are added up place by place, long ones
+    by reduction."""
+    out = g.take(order[first], axis=0, out=out[: len(first)], mode="clip")
+    several = np.flatnonzero(n > 1)
+    size, start = n[several], first[several]
     for place in (1, 2):
-        more = np.flatnonzero((n > place) & (n <= 3))
-        out[more] += g.take(order[first[more] + place], axis=0)
-    long = np.flatnonzero(n > 3)
-    if len(long):
-        size = n[long].astype(np.int64)
-        start = np.cumsum(size) - size
-        at = np.arange(size.sum()) - np.repeat(start - first[long], size)
-        out[long] = np.add.reduceat(g.take(order[at], axis=0), start)
+        more = (size > place) & (size <= 3)
+        out[several[more]] += g.take(order[start[more] + place], axis=0)
+    long = size > 3
+    if long.any():
+        size, start = size[long], start[long]
+        low = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(low - start, size)
+        out[several[long]] = np.add.reduceat(g.take(order[at], axis=0), low)
     return out
 
 
@@ -343,9 +376,9 @@ def _chunk_updates(shared, folds: int, held_out: int):
             use = t.of_training(folds, held_out)
             rows, inside = feature_rows(t, klass, total)
             chosen = klass[t.tokens]
-            both = [updated(v["bias"], None, v["weights"], v["seen"], rows[:, use], (0, BEFORE, BEFORE + SKIP), chosen[use])]
+            both = [updated(v["bias"], None, v["weights"], v["seen"], rows[:, use], chosen[use])]
             use &= chosen >= SINGLE  # a frequent token is its class
-            both.append(updated(v["cells"], chosen[use], v["inside"], v["seen_inside"], inside[:, use], (0, INSIDE), slots(t.hash, total)[t.tokens][use]))
+            both.append(updated(v["cells"], chosen[use], v["inside"], v["seen_inside"], inside[:, use], slots(t.hash, total)[t.tokens][use]))
             for first, (w, touched) in zip((0, ROWS // ROW_BLOCK), both, strict=True):
                 for b in range(len(w) // ROW_BLOCK) if touched.any() else ():
                     own = slice(b * ROW_BLOCK, (b + 1) * ROW_BLOCK)
