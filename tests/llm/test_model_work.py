@@ -47,3 +47,21 @@ def test_updates_are_those_of_plain_gradient_steps():
         w += (lm.RATE / (times + np.sqrt(times * (seen + touched)) + 1))[:, None] * total
     got, n_touched = lm.updated(bias, of, start, seen, rows, chosen)
     assert (n_touched == touched).all() and np.allclose(got, w, atol=2e-3)
+
+
+def test_runs_of_any_length_are_summed_whole():
+    rng = np.random.default_rng(6)
+    n = np.array([1, 3, 40, 2, 1, lm.PLACES, lm.PLACES + 1, lm.PLACES - 1, 1, 300, 2])
+    order, first = rng.integers(0, 50, n.sum()), np.cumsum(n) - n
+    g = rng.normal(size=(50, 8)).astype(np.float32)
+    want = [g[order[a : a + k]].astype(float).sum(0) for a, k in zip(first, n, strict=True)]
+    assert np.allclose(lm._run_sums(g, order, first, n, np.empty((99, 8), np.float32)), want, atol=1e-4)
+    alone = lm._run_sums(g, order[:2], np.arange(2), np.ones(2, np.int64), np.empty((2, 8), np.float32))
+    assert (alone == g[order[:2]]).all()
+
+
+def test_training_has_one_python_worker_a_task(spark):
+    """Parts are averaged by the worker that trains; no other operator in Python follows it in its stage."""
+    partial = spark.range(8).selectExpr("cast(id as int) part").groupBy("part").applyInArrow(lambda x: x, "part int").selectExpr("part block", "cast('' as binary) rows", "cast('' as binary) touched", "cast('' as binary) weights", "part source")
+    plan = lm.averaged(partial)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # those that sum blocks, each behind a shuffle

@@ -55,6 +55,8 @@ RARE = 4
 #: Rounds over all training texts, tokens of a batch, and the first step of a row of weights, which shrinks with its updates.
 ROUNDS, BATCH, RATE = 1, 2048, 8.0
 SMOOTH = 0.1
+#: Places of a run that are added one by one.
+PLACES = 8
 #: Chunks that one task goes through, one after the other.
 CHUNKS_A_TASK = 4
 #: Chunks whose words make one range's work, and chunks whose words are summed together.
@@ -132,12 +134,11 @@ class _Tokens:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = table.column("doc_id").to_pylist()
         raw, start, end, stop = located(text_bytes(table.column("text")))
-        of = np.searchsorted(stop, start, side="right")
-        self.size = np.bincount(of, minlength=len(stop)).astype(np.int64) + 1
+        self.size = np.diff(np.searchsorted(start, stop), prepend=0) + 1
         spelt, bounds, number = vocabulary(raw, start, end)
         low, high = bounds[:-1], bounds[1:]
         every, check = (np.append(word_hashes(spelt, low, high, i), _END[i]) for i in (0, 1))  # each word is hashed once
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         if (every[order[1:]] == every[order[:-1]]).any():  # two words have the same first hash
             order = np.lexsort((check, every))
         self.hash, self.check = every[order], check[order]
@@ -319,73 +320,88 @@ def updated(bias: np.ndarray, of: np.ndarray | None, w: np.ndarray, seen: np.nda
     width = w.shape[1]
     whole = w.view(f"V{w.itemsize * width}").ravel()  # a row of weights as one item, which is written at once
     short, ones = rows.astype(np.uint16), np.ones((width, 1), np.float32)
-    gradient, room, sums = (np.empty((n * BATCH, width), np.float32) for n in (1, 1, len(rows)))
+    gradient, room, own_rows, sums = (np.empty((n * BATCH, width), np.float32) for n in (1, 1, len(rows), len(rows)))
     hit = np.arange(len(chosen)) % BATCH * width + chosen
     for low in range(0, len(chosen), BATCH):
         own = slice(low, low + BATCH)
-        g = logits(bias, None if of is None else of[own], w, rows[:, own], gradient, room)
-        np.exp(g, out=g)
-        g /= -(g @ ones)
-        g.ravel()[hit[own]] += 1
         flat = short[:, own].ravel()
         order = np.argsort(flat, kind="stable")
         at = flat[order]
         bounds = run_bounds(at)
         first, n = bounds[:-1], bounds[1:] - bounds[:-1]
         row = at[first].astype(np.int64)
+        place = np.empty_like(order)
+        place[order] = np.repeat(np.arange(len(row)), n)
+        here = w.take(row, axis=0, out=own_rows[: len(row)], mode="clip")  # the batch's rows, read once and in order
+        g = logits(bias, None if of is None else of[own], here, place.reshape(len(rows), -1), gradient, room)
+        np.exp(g, out=g)
+        g /= -(g @ ones)
+        g.ravel()[hit[own]] += 1
         order %= len(g)  # the token, whatever the feature
         times = n.astype(np.float32)
         touched[row] += times
         step = RATE / (times + np.sqrt(times * (seen[row] + touched[row])) + 1)
         moved = _run_sums(g, order, first, n, sums)
         moved *= step[:, None]
-        moved += w.take(row, axis=0)
-        whole[row] = moved.view(whole.dtype).ravel()
+        here += moved
+        whole[row] = here.view(whole.dtype).ravel()
     return w, touched
 
 
 def _run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Sums of the rows of g by runs of ``order``, in ``out``. Most runs are of one, and short ones are added up place by place, long ones
-    by reduction."""
+    """Sums of the rows of g by runs of ``order``, in ``out``. Most runs are of one; others stand from the longest on and are added up
+    place by place, and what is left of long ones by reduction."""
     out = g.take(order[first], axis=0, out=out[: len(first)], mode="clip")
     several = np.flatnonzero(n > 1)
+    several = several[np.argsort(n[several], kind="stable")[::-1]]
     size, start = n[several], first[several]
-    for place in (1, 2):
-        more = (size > place) & (size <= 3)
-        out[several[more]] += g.take(order[start[more] + place], axis=0)
-    long = size > 3
-    if long.any():
-        size, start = size[long], start[long]
+    longer = len(size) - np.cumsum(np.bincount(np.minimum(size, PLACES + 1), minlength=PLACES + 2))  # by place, runs that have it
+    total = out.take(several, axis=0)
+    for place in range(1, PLACES):
+        if m := longer[place]:
+            total[:m] += g.take(order[start[:m] + place], axis=0)
+    if m := longer[PLACES]:
+        size, start = size[:m] - PLACES, start[:m] + PLACES
         low = np.cumsum(size) - size
         at = np.arange(size.sum()) - np.repeat(low - start, size)
-        out[several[long]] = np.add.reduceat(g.take(order[at], axis=0), low)
+        total[:m] += np.add.reduceat(g.take(order[at], axis=0), low)
+    out[several] = total
     return out
 
 
 def _chunk_updates(shared, folds: int, held_out: int):
-    """What the chunks of a part make of the weights, averaged over them: a part moves one table, however tasks are dealt."""
+    """What the chunks of a part make of the weights, averaged over them: a part moves one table, however tasks are dealt. One chunk's
+    arrays are held at a time."""
+
+    def of_chunk(chunk, docs, counts):
+        v, out = shared.value, []
+        t = _Tokens(docs)
+        klass, total = _aligned(t, counts, v["frequent"])
+        use, chosen = t.of_training(folds, held_out), klass[t.tokens]
+        several = use & (chosen >= SINGLE)  # a frequent token is its class
+        slot = slots(t.hash, total)[t.tokens][several]
+        rows, inside = feature_rows(t, klass, total)
+        rows, inside = rows[:, use], inside[:, several]
+        del t
+        for first, (w, touched) in (
+            (0, updated(v["bias"], None, v["weights"], v["seen"], rows, chosen[use])),
+            (ROWS // ROW_BLOCK, updated(v["cells"], chosen[several], v["inside"], v["seen_inside"], inside, slot)),
+        ):
+            for b in range(len(w) // ROW_BLOCK) if touched.any() else ():
+                own = slice(b * ROW_BLOCK, (b + 1) * ROW_BLOCK)
+                at = np.flatnonzero(touched[own])
+                out.append((first + b, at.astype(np.uint16).tobytes(), touched[own][at].tobytes(), w[own][at].astype(np.float16).tobytes(), chunk))
+        return _packed(out)
 
     def run(docs, counts):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        out, v = [], shared.value
-        for chunk in sorted(pc.unique(docs.column("chunk")).to_pylist()):
-            t = _Tokens(docs.filter(pc.equal(docs.column("chunk"), chunk)))
-            klass, total = _aligned(t, counts.filter(pc.equal(counts.column("chunk"), chunk)), v["frequent"])
-            use = t.of_training(folds, held_out)
-            rows, inside = feature_rows(t, klass, total)
-            chosen = klass[t.tokens]
-            both = [updated(v["bias"], None, v["weights"], v["seen"], rows[:, use], chosen[use])]
-            use &= chosen >= SINGLE  # a frequent token is its class
-            both.append(updated(v["cells"], chosen[use], v["inside"], v["seen_inside"], inside[:, use], slots(t.hash, total)[t.tokens][use]))
-            for first, (w, touched) in zip((0, ROWS // ROW_BLOCK), both, strict=True):
-                for b in range(len(w) // ROW_BLOCK) if touched.any() else ():
-                    own = slice(b * ROW_BLOCK, (b + 1) * ROW_BLOCK)
-                    at = np.flatnonzero(touched[own])
-                    out.append((first + b, at.astype(np.uint16).tobytes(), touched[own][at].tobytes(), w[own][at].astype(np.float16).tobytes(), chunk))
-        made = _packed(out)
-        return pa.Table.from_batches(_average(made.to_batches()), made.schema)
+        def made():
+            for chunk in sorted(pc.unique(docs.column("chunk")).to_pylist()):
+                yield from of_chunk(chunk, *(x.filter(pc.equal(x.column("chunk"), chunk)) for x in (docs, counts))).to_batches()
+
+        return pa.Table.from_batches(_average(made()), _packed([]).schema)
 
     return run
 
@@ -423,12 +439,12 @@ def _average(batches):
 
 
 def averaged(partial: DataFrame) -> DataFrame:
-    """The average of all chunks' weights by block, as a tree: tasks average what they have made, then FAN tasks for each block, then one,
+    """The average of all chunks' weights by block, as a tree: each part has averaged its own, then come FAN tasks for each block, then one,
     so that what the last ones read does not grow with the number of chunks beyond FAN rows a block. Chunks are dealt to a fixed number of
-    tasks and every sum goes by their numbers, so the same documents give the same weights, however they came."""
+    parts and every sum goes by their numbers, so the same documents give the same weights, however they came. Parts are not averaged
+    again where they were made: that would be a second Python worker beside each that trains."""
     blocks = (ROWS + INSIDE_ROWS) // ROW_BLOCK
-    own = partial.mapInArrow(_average, BLOCKS)
-    fans = own.repartition(blocks * FAN, "block", F.pmod("source", F.lit(FAN))).sortWithinPartitions("block", "source").mapInArrow(_average, BLOCKS)
+    fans = partial.repartition(blocks * FAN, "block", F.pmod("source", F.lit(FAN))).sortWithinPartitions("block", "source").mapInArrow(_average, BLOCKS)
     return fans.repartition(blocks, "block").sortWithinPartitions("block", "source").mapInArrow(_average, BLOCKS)
 
 
